@@ -1,0 +1 @@
+"""Empty on purpose: every report is a batch job over a whole table."""
