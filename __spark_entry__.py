@@ -53,7 +53,7 @@ def yearly_orders(spark: SparkSession, sf_dir: str, years) -> list[DataFrame]:
     """Orders split by year, the first part without its status."""
     orders = table(spark, sf_dir, "orders")
     day = F.col("o_orderdate")
-    parts = [orders.where(day.between(f"{y}-01-01", f"{y}-12-31")) for y in years]
+    parts = [orders.where((day >= f"{y}-01-01") & (day < f"{y + 1}-01-01")) for y in years]
     return [parts[0].drop("o_orderstatus"), *parts[1:]]
 
 

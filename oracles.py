@@ -25,6 +25,7 @@ facts AS (
 
 TWO_YEARS = f"""{FACTS.replace("facts AS", "all_facts AS")},
 facts AS (SELECT * FROM all_facts WHERE year(date_reg) IN (2000, 2001))"""
+
 SHIPMENTS = """
 facts AS (
   SELECT l_suppkey, l_returnflag,
@@ -48,18 +49,18 @@ def _day(date: str | None) -> str:
     return LATEST if date is None else f"DATE '{date}'"
 
 
-def _period(period: str, keys: str, as_of: str | None, source: str = "facts") -> str:
+def _period(period: str, keys: str, as_of: str | None) -> str:
     return f"""
 {period}_rows AS (
   SELECT {keys}, count(*) AS count_{period}
-  FROM {source}, (SELECT {_day(as_of)} AS l)
+  FROM facts, (SELECT {_day(as_of)} AS l)
   WHERE {PERIOD_FILTERS[period]} GROUP BY {keys}
 )"""
 
 
-def _counts(keys: str, as_of: str | None, source: str = "facts", name: str = "counts") -> str:
+def _counts(keys: str, as_of: str | None) -> str:
     """CTEs of the five period tables and of their full outer join."""
-    tables = ",".join(_period(period, keys, as_of, source) for period in PERIOD_FILTERS)
+    tables = ",".join(_period(period, keys, as_of) for period in PERIOD_FILTERS)
     joins = " ".join(
         f"FULL JOIN {period}_rows USING ({keys})" for period in list(PERIOD_FILTERS)[1:]
     )
@@ -68,7 +69,7 @@ def _counts(keys: str, as_of: str | None, source: str = "facts", name: str = "co
         f"WHEN count_{p} IS NOT NULL THEN {i}" for i, p in enumerate(PERIOD_FILTERS)
     )
     return f"""{tables},
-{name} AS (
+counts AS (
   SELECT {keys}, {columns}, CASE {seen} END AS first_seen
   FROM current_rows {joins}
 )"""
@@ -83,7 +84,7 @@ def _growth(current: str, earlier: str) -> str:
     return f"CASE WHEN {earlier} > 0 THEN {current} / {earlier} - 1 END"
 
 
-def _ranked(keys: str, counts: str = "counts") -> str:
+def _ranked(keys: str) -> str:
     return f"""
 SELECT row_number() OVER (ORDER BY {_order(keys)}) AS rank, {keys},
        count_current, count_previous,
@@ -92,7 +93,7 @@ SELECT row_number() OVER (ORDER BY {_order(keys)}) AS rank, {keys},
        {_growth("count_current", "count_previous_year")} AS growth_YoY,
        count_ytd_current, count_ytd_previous,
        {_growth("count_ytd_current", "count_ytd_previous")} AS growth_YTD
-FROM {counts}"""
+FROM counts"""
 
 
 def _summary(keys: str, as_of: str | None = None, facts: str = FACTS) -> str:
