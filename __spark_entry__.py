@@ -89,7 +89,7 @@ def _on_registrations(build: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _calendar(facts: DataFrame) -> op.Calendar:
-    return op.Calendar(plans.latest_month(facts)[0])
+    return op.Calendar.latest(facts)[0]
 
 
 def _period_count(period: str) -> Query:
@@ -136,14 +136,14 @@ def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rows_of_top_makes(facts: DataFrame) -> DataFrame:
-    counts = op.period_counts(facts, MAKE_KEYS, op.Calendar(FULL_MONTH))
+    counts = op.period_counts(facts, MAKE_KEYS, op.Calendar.at(facts.sparkSession, FULL_MONTH))
     leaders = op.top_n(counts, MAKE_KEYS, 10)
     kept = op.keep_members(facts, leaders, MAKE_KEYS, 10)
     return kept.groupBy("maker", "fuel").agg(F.count("*").alias("n"))
 
 
 def rows_of_top_models(facts: DataFrame) -> DataFrame:
-    counts = op.period_counts(facts, MODEL_KEYS, op.Calendar(JANUARY))
+    counts = op.period_counts(facts, MODEL_KEYS, op.Calendar.at(facts.sparkSession, JANUARY))
     leaders = op.top_n(counts, MODEL_KEYS, 10).select("maker", "model")
     joined = op.attach_members(facts, leaders, ("maker", "model"), 10)
     return joined.groupBy("maker", "model", "fuel").agg(F.count("*").alias("n"))
@@ -250,7 +250,7 @@ def dashboard_trends(facts: DataFrame) -> DataFrame:
 
 def combined_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five counts taken one by one, each from its own months, then put side by side."""
-    lines, calendar = table(spark, sf_dir, "lineitem"), op.Calendar(JANUARY)
+    lines, calendar = table(spark, sf_dir, "lineitem"), op.Calendar.at(spark, JANUARY)
     counts = (op.period_count(lines, SHIP_KEYS, calendar, p, "l_shipdate") for p in op.PERIODS)
     return op.combine_period_counts(counts, SHIP_KEYS)
 

@@ -1,6 +1,12 @@
 """Operators from DataFrame to DataFrame; date and key columns are parameters."""
 
-from tallytide.operators.calendar import PERIODS, Calendar, as_of_date, reporting_calendar
+from tallytide.operators.calendar import (
+    PERIODS,
+    Calendar,
+    as_of_date,
+    reporting_calendar,
+    resolve_calendar,
+)
 from tallytide.operators.combine import distinct_keys, sorted_by_keys, union_by_name
 from tallytide.operators.counts import (
     COUNTS,
@@ -32,6 +38,7 @@ __all__ = [
     "preview",
     "report_order",
     "reporting_calendar",
+    "resolve_calendar",
     "rows_in_period",
     "sorted_by_keys",
     "top_n",

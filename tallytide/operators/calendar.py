@@ -1,10 +1,11 @@
 """The reporting calendar: five periods anchored on one month."""
 
 import datetime as dt
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallytide.functions.dates import (
     month_label,
@@ -18,26 +19,68 @@ from tallytide.functions.dates import (
 PERIODS = ("current", "previous", "previous_year", "ytd_current", "ytd_previous")
 
 
+def calendar_columns(as_of: Column) -> list[Column]:
+    """The whole record of the month of ``as_of``: months, range bounds, year and labels."""
+    month = month_start(as_of)
+    before, year_before = shift_months(month, -1), shift_months(month, -12)
+    start, earlier_end = year_start(month), shift_years(month, -1)
+    return [
+        month.alias("month_current"),
+        before.alias("month_previous"),
+        year_before.alias("month_previous_year"),
+        F.year(month).cast("bigint").alias("year_current"),
+        start.alias("ytd_current_start"),
+        month.alias("ytd_current_end"),
+        shift_years(start, -1).alias("ytd_previous_start"),
+        earlier_end.alias("ytd_previous_end"),
+        month_label(month).alias("label_current"),
+        month_label(before).alias("label_previous"),
+        month_label(year_before).alias("label_previous_year"),
+        ytd_label(month).alias("label_ytd_current"),
+        ytd_label(earlier_end).alias("label_ytd_previous"),
+    ]
+
+
+@dataclass(frozen=True)
 class Calendar:
-    """Periods and labels for the month of ``as_of``.
+    """The calendar record as values.
 
-    ``as_of`` is a date, an ISO string, or a column. Use a date or string whenever the
-    periods filter a table: the bounds then fold to literals and reach the scan as
-    partition or row-group filters, which values from a joined row cannot do.
+    Period bounds enter a query as literals and so reach the scan as partition or row-group
+    filters, which bounds from a joined row cannot do. All dates are None, and no row lies
+    in any period, when the data has no dates.
     """
 
-    def __init__(self, as_of: dt.date | str | Column | None):
-        anchor = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
-        self.month_current = month_start(anchor)
-        self.month_previous = shift_months(self.month_current, -1)
-        self.month_previous_year = shift_months(self.month_current, -12)
-        self.ytd_current_start = year_start(self.month_current)
-        self.ytd_current_end = self.month_current
-        self.ytd_previous_start = shift_years(self.ytd_current_start, -1)
-        self.ytd_previous_end = shift_years(self.ytd_current_end, -1)
-
-    def contains(self, period: str, date: Column) -> Column:
-        """Whether ``date`` lies in the period.
+    month_current: dt.date | None
+    month_previous: dt.date | None
+    month_previous_year: dt.date | None
+    year_current: int | None
+    ytd_current_start: dt.date | None
+    ytd_current_end: dt.date | None
+    ytd_previous_start: dt.date | None
+    ytd_previous_end: dt.date | None
+    label_current: str | None
+    label_previous: str | None
+    label_previous_year: str | None
+    label_ytd_current: str | None
+    label_ytd_previous: str | None
+
+    @classmethod
+    def at(cls, spark: SparkSession, as_of: dt.date | str) -> "Calendar":
+        """Calendar of the month of a date or ISO string."""
+        (row,) = spark.range(1).select(*calendar_columns(F.lit(as_of).cast("date"))).collect()
+        return cls(**row.asDict())
+
+    @classmethod
+    def latest(cls, facts: DataFrame, date: str = "date_reg") -> tuple["Calendar", int]:
+        """Calendar of the latest month, and the number of rows, from one job."""
+        found = as_of_date(facts, date)
+        (row,) = found.select("n_rows", *calendar_columns(F.col("as_of"))).collect()
+        values = row.asDict()
+        n_rows = values.pop("n_rows")
+        return cls(**values), n_rows
+
+    def contains(self, period: str, date: str) -> Column:
+        """Whether the column ``date`` lies in the period.
 
         Bounds are half-open up to the first day after the last month. On dates floored
         to the month this equals comparing months, and it holds for raw dates as well.
@@ -49,10 +92,14 @@ class Calendar:
             "ytd_current": (self.ytd_current_start, self.ytd_current_end),
             "ytd_previous": (self.ytd_previous_start, self.ytd_previous_end),
         }[period]
-        return (date >= first) & (date < shift_months(last, 1))
+        if first is None:
+            return F.lit(False)
+        return F.expr(
+            f"`{date}` >= DATE'{first}' AND `{date}` < add_months(DATE'{last}', 1)"
+        )
 
-    def contains_any(self, date: Column) -> Column:
-        """Whether ``date`` lies in any period.
+    def contains_any(self, date: str) -> Column:
+        """Whether the column ``date`` lies in any period.
 
         The current month and the same month a year ago are inside the year-to-date
         ranges; the previous month is not when the anchor is January.
@@ -60,30 +107,6 @@ class Calendar:
         outer = ("ytd_current", "ytd_previous", "previous")
         return reduce(or_, (self.contains(period, date) for period in outer))
 
-    def labels(self) -> dict[str, Column]:
-        """Display label of each period."""
-        return {
-            "current": month_label(self.month_current),
-            "previous": month_label(self.month_previous),
-            "previous_year": month_label(self.month_previous_year),
-            "ytd_current": ytd_label(self.ytd_current_end),
-            "ytd_previous": ytd_label(self.ytd_previous_end),
-        }
-
-    def columns(self) -> list[Column]:
-        """The whole record: months, range bounds, year and labels."""
-        return [
-            self.month_current.alias("month_current"),
-            self.month_previous.alias("month_previous"),
-            self.month_previous_year.alias("month_previous_year"),
-            F.year(self.month_current).cast("bigint").alias("year_current"),
-            self.ytd_current_start.alias("ytd_current_start"),
-            self.ytd_current_end.alias("ytd_current_end"),
-            self.ytd_previous_start.alias("ytd_previous_start"),
-            self.ytd_previous_end.alias("ytd_previous_end"),
-            *(label.alias(f"label_{period}") for period, label in self.labels().items()),
-        ]
-
 
 def as_of_date(facts: DataFrame, date: str = "date_reg") -> DataFrame:
     """One row: the latest month ``as_of``, ``n_rows`` and ``n_null_dates``.
@@ -100,4 +123,18 @@ def as_of_date(facts: DataFrame, date: str = "date_reg") -> DataFrame:
 
 def reporting_calendar(facts: DataFrame, date: str = "date_reg") -> DataFrame:
     """One row with the calendar anchored on the latest month of ``facts``."""
-    return as_of_date(facts, date).select(*Calendar(F.col("as_of")).columns())
+    return as_of_date(facts, date).select(*calendar_columns(F.col("as_of")))
+
+
+def resolve_calendar(
+    facts: DataFrame, as_of: Calendar | dt.date | str | None, date: str = "date_reg"
+) -> tuple[Calendar, int | None]:
+    """The calendar to report on, and the number of rows of ``facts`` if it was counted.
+
+    Without ``as_of`` the latest month counts as the current one, even if it is not over yet.
+    """
+    if as_of is None:
+        return Calendar.latest(facts, date)
+    if isinstance(as_of, Calendar):
+        return as_of, None
+    return Calendar.at(facts.sparkSession, as_of), None

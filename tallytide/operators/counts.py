@@ -16,7 +16,7 @@ def rows_in_period(
     facts: DataFrame, calendar: Calendar, period: str, date: str = "date_reg"
 ) -> DataFrame:
     """Rows dated in one period."""
-    return facts.where(calendar.contains(period, F.col(date)))
+    return facts.where(calendar.contains(period, date))
 
 
 def period_count(
@@ -47,13 +47,13 @@ def period_counts(
     """
 
     def counted(period: str) -> Column:
-        inside = calendar.contains(period, F.col(date))
+        inside = calendar.contains(period, date)
         if weight is None:
             return F.count_if(inside)
         return F.sum(F.when(inside, F.col(weight)).otherwise(0))
 
     return (
-        facts.where(calendar.contains_any(F.col(date)))
+        facts.where(calendar.contains_any(date))
         .groupBy(*keys)
         .agg(*(counted(period).alias(f"count_{period}") for period in PERIODS))
     )

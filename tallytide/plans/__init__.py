@@ -8,7 +8,6 @@ from tallytide.plans.summary import (
     MAKE_KEYS,
     MEASURES,
     MODEL_KEYS,
-    latest_month,
     summary,
 )
 from tallytide.plans.trends import top_make_trend, top_model_trend, trend
@@ -25,7 +24,6 @@ __all__ = [
     "display",
     "display_labels",
     "display_report",
-    "latest_month",
     "make_model_list",
     "summary",
     "top_make_trend",

@@ -5,12 +5,12 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
+from tallytide.operators.calendar import Calendar
 from tallytide.operators.counts import monthly_counts
 from tallytide.plans.summary import (
     FUEL_KEYS,
     MAKE_KEYS,
     MODEL_KEYS,
-    latest_month,
     summary,
 )
 from tallytide.plans.trends import top_make_trend, top_model_trend, trend
@@ -18,9 +18,9 @@ from tallytide.shared import written
 
 
 class Dashboard(NamedTuple):
-    """The anchor month, and a summary and a trend for each page."""
+    """The calendar, and a summary and a trend for each page."""
 
-    as_of: dt.date | None
+    calendar: Calendar
     makes: DataFrame
     make_trend: DataFrame
     models: DataFrame
@@ -42,11 +42,12 @@ def dashboard(
     that table is written to the shared folder and all six results add up its counts.
     """
     cube = written(monthly_counts(facts, MODEL_KEYS, date))
-    latest, rows = latest_month(cube, "month")
-    as_of = latest if as_of is None else as_of
-    options = {"as_of": as_of, "date": "month", "weight": "registration"}
+    calendar, rows = Calendar.latest(cube, "month")
+    if as_of is not None:
+        calendar = Calendar.at(facts.sparkSession, as_of)
+    options = {"as_of": calendar, "date": "month", "weight": "registration"}
     return Dashboard(
-        as_of=as_of,
+        calendar=calendar,
         makes=summary(cube, MAKE_KEYS, max_keys=rows, **options),
         make_trend=top_make_trend(cube, n, **options),
         models=summary(cube, MODEL_KEYS, max_keys=rows, **options),

@@ -3,11 +3,11 @@
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallytide.functions.growth import growth_band, percent_text
-from tallytide.operators.calendar import Calendar
-from tallytide.plans.summary import latest_month, summary
+from tallytide.operators.calendar import PERIODS, Calendar, resolve_calendar
+from tallytide.plans.summary import summary
 
 # Headings of the columns that do not depend on the date.
 HEADINGS = {
@@ -22,21 +22,19 @@ HEADINGS = {
 GROWTHS = ("growth_MoM", "growth_YoY", "growth_YTD")
 
 
-def display_labels(spark: SparkSession, as_of: dt.date | str) -> dict[str, str]:
+def display_labels(calendar: Calendar) -> dict[str, str]:
     """Heading of every summary column; those of the counts name their period."""
-    if as_of is None:
+    if calendar.month_current is None:
         raise ValueError("a table without dates has no period labels")
-    labels = Calendar(as_of).labels()
-    periods = spark.range(1).select(*(v.alias(f"count_{k}") for k, v in labels.items()))
-    return HEADINGS | periods.first().asDict()
+    return HEADINGS | {f"count_{p}": getattr(calendar, f"label_{p}") for p in PERIODS}
 
 
-def display(table: DataFrame, as_of: dt.date | str) -> DataFrame:
+def display(table: DataFrame, calendar: Calendar) -> DataFrame:
     """A summary under display headings.
 
     Each growth keeps its number and gets a percent text and a colour beside it.
     """
-    labels = display_labels(table.sparkSession, as_of)
+    labels = display_labels(calendar)
     columns = []
     for name in table.columns:
         label = labels.get(name, name)
@@ -50,11 +48,9 @@ def display(table: DataFrame, as_of: dt.date | str) -> DataFrame:
 def display_report(
     facts: DataFrame,
     keys: Sequence[str],
-    as_of: dt.date | str | None = None,
+    as_of: Calendar | dt.date | str | None = None,
     date: str = "date_reg",
 ) -> DataFrame:
     """The summary of ``facts`` as a display table."""
-    max_keys = None
-    if as_of is None:
-        as_of, max_keys = latest_month(facts, date)
-    return display(summary(facts, keys, as_of, date, max_keys=max_keys), as_of)
+    calendar, rows = resolve_calendar(facts, as_of, date)
+    return display(summary(facts, keys, calendar, date, max_keys=rows), calendar)

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from tallytide.operators.calendar import Calendar, as_of_date
+from tallytide.operators.calendar import Calendar, resolve_calendar
 from tallytide.operators.counts import period_counts, with_growth
 from tallytide.operators.ranking import with_rank
 
@@ -25,27 +25,19 @@ MEASURES = (
 )
 
 
-def latest_month(facts: DataFrame, date: str = "date_reg") -> tuple[dt.date | None, int]:
-    """The latest month and the number of rows, from one job that returns one row."""
-    row = as_of_date(facts, date).first()
-    return row.as_of, row.n_rows
-
-
 def summary(
     facts: DataFrame,
     keys: Sequence[str],
-    as_of: dt.date | str | None = None,
+    as_of: Calendar | dt.date | str | None = None,
     date: str = "date_reg",
     weight: str | None = None,
     max_keys: int | None = None,
 ) -> DataFrame:
     """One ranked row per key that occurs in any of the five periods.
 
-    Without ``as_of`` the latest month counts as the current one, even if it is not over
-    yet. The lookup also counts the rows, which bounds the number of keys for the rank;
-    with ``as_of`` given, ``max_keys`` can state such a bound.
+    Finding the latest month, when ``as_of`` is left out, also counts the rows, which
+    bounds the number of keys to rank; ``max_keys`` states such a bound otherwise.
     """
-    if as_of is None:
-        as_of, max_keys = latest_month(facts, date)
-    counts = with_growth(period_counts(facts, keys, Calendar(as_of), date, weight))
-    return with_rank(counts, keys, max_keys).select("rank", *keys, *MEASURES)
+    calendar, rows = resolve_calendar(facts, as_of, date)
+    counts = with_growth(period_counts(facts, keys, calendar, date, weight))
+    return with_rank(counts, keys, max_keys if rows is None else rows).select("rank", *keys, *MEASURES)

@@ -6,25 +6,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tallytide.functions.text import joined_label
-from tallytide.operators.calendar import Calendar
+from tallytide.operators.calendar import Calendar, resolve_calendar
 from tallytide.operators.counts import monthly_counts, period_counts
 from tallytide.operators.membership import BROADCAST_ROWS, attach_members, keep_members
 from tallytide.operators.ranking import top_n
-from tallytide.plans.summary import MAKE_KEYS, MODEL_KEYS, latest_month
+from tallytide.plans.summary import MAKE_KEYS, MODEL_KEYS
 
 
 def _leaders(
     facts: DataFrame,
     keys: Sequence[str],
     n: int,
-    as_of: dt.date | str | None,
+    as_of: Calendar | dt.date | str | None,
     date: str,
     weight: str | None,
 ) -> DataFrame:
     """Keys of the first ``n`` rows of the summary."""
-    if as_of is None:
-        as_of, _ = latest_month(facts, date)
-    counts = period_counts(facts, keys, Calendar(as_of), date, weight)
+    calendar, _ = resolve_calendar(facts, as_of, date)
+    counts = period_counts(facts, keys, calendar, date, weight)
     return top_n(counts, keys, n).select(*keys)
 
 
@@ -41,7 +40,7 @@ def trend(
 def top_make_trend(
     facts: DataFrame,
     n: int = 10,
-    as_of: dt.date | str | None = None,
+    as_of: Calendar | dt.date | str | None = None,
     date: str = "date_reg",
     weight: str | None = None,
 ) -> DataFrame:
@@ -56,7 +55,7 @@ def top_make_trend(
 def top_model_trend(
     facts: DataFrame,
     n: int = 10,
-    as_of: dt.date | str | None = None,
+    as_of: Calendar | dt.date | str | None = None,
     dedup: bool = False,
     date: str = "date_reg",
     weight: str | None = None,

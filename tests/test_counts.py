@@ -54,9 +54,9 @@ def random_rows(seed, n=400):
 
 @pytest.mark.parametrize("as_of", ["2025-12-01", "2025-01-01", "2024-07-01", "2023-03-01"])
 @pytest.mark.parametrize("keys", [("maker",), KEYS])
-def test_one_pass_equals_joins_and_union(facts, as_of, keys):
+def test_one_pass_equals_joins_and_union(spark, facts, as_of, keys):
     table = facts(*random_rows(as_of))
-    calendar = Calendar(as_of)
+    calendar = Calendar.at(spark, as_of)
     columns = (*keys, *COUNTS)
     one_pass = sorted(rows_of(period_counts(table, keys, calendar), *columns), key=repr)
     joined = sorted(rows_of(joined_counts(table, keys, calendar), *columns), key=repr)
@@ -68,7 +68,7 @@ def test_one_pass_equals_joins_and_union(facts, as_of, keys):
         assert total == rows_in_period(table, calendar, period).count()
 
 
-def test_counts_by_hand(facts):
+def test_counts_by_hand(spark, facts):
     table = facts(
         ("2025-03", "A"),
         ("2025-03", "A"),
@@ -81,7 +81,7 @@ def test_counts_by_hand(facts):
         ("2023-03", "G"),
         (None, "A"),
     )
-    counts = period_counts(table, ("maker",), Calendar("2025-03-01"))
+    counts = period_counts(table, ("maker",), Calendar.at(spark, "2025-03-01"))
     assert set(rows_of(counts, "maker", *COUNTS)) == {
         ("A", 2, 0, 0, 2, 0),
         (None, 1, 0, 0, 1, 0),
@@ -92,9 +92,9 @@ def test_counts_by_hand(facts):
     }
 
 
-def test_january_keeps_the_previous_month(facts):
+def test_january_keeps_the_previous_month(spark, facts):
     table = facts(("2025-01", "A"), ("2024-12", "B"), ("2024-02", "C"), ("2024-01", "D"))
-    counts = period_counts(table, ("maker",), Calendar("2025-01-01"))
+    counts = period_counts(table, ("maker",), Calendar.at(spark, "2025-01-01"))
     assert set(rows_of(counts, "maker", *COUNTS)) == {
         ("A", 1, 0, 0, 1, 0),
         ("B", 0, 1, 0, 0, 0),
@@ -107,17 +107,17 @@ def test_raw_dates_count_like_month_starts(spark):
     raw = spark.createDataFrame([(d, "A") for d in days], "date_reg date, maker string")
     floored = raw.withColumn("date_reg", F.trunc("date_reg", "month"))
     for as_of in ("2025-03-17", "2024-02-29", "2025-01-31"):
-        calendar = Calendar(as_of)
+        calendar = Calendar.at(spark, as_of)
         assert rows_of(period_counts(raw, ("maker",), calendar), *COUNTS) == rows_of(
             period_counts(floored, ("maker",), calendar), *COUNTS
         )
 
 
-def test_weighted_counts_equal_plain_ones(facts):
+def test_weighted_counts_equal_plain_ones(spark, facts):
     table = facts(*random_rows(11))
     cube = monthly_counts(table, KEYS)
     for keys in (("maker",), KEYS):
-        calendar = Calendar("2025-01-01")
+        calendar = Calendar.at(spark, "2025-01-01")
         plain = rows_of(period_counts(table, keys, calendar), *keys, *COUNTS)
         added = period_counts(cube, keys, calendar, "month", "registration")
         assert sorted(plain, key=repr) == sorted(rows_of(added, *keys, *COUNTS), key=repr)

@@ -1,7 +1,7 @@
 import pytest
 from conftest import rows_of
 
-from tallytide.operators import filter_columns
+from tallytide.operators import Calendar, filter_columns
 from tallytide.plans import MAKE_KEYS, MODEL_KEYS, display_labels, display_report
 
 
@@ -24,7 +24,7 @@ def test_headings(table):
         "Rank", "Make", "Model", "Fuel Type", "Jan-2025", "Dec-2024", *growths[:3],
         "Jan-2024", *growths[3:6], "YTD 2025", "YTD 2024", *growths[6:],
     ]
-    labels = display_labels(table.sparkSession, "2024-02-10")
+    labels = display_labels(Calendar.at(table.sparkSession, "2024-02-10"))
     assert labels["count_previous"] == "Jan-2024" and labels["count_ytd_previous"] == "YTD 2023"
 
 

@@ -119,7 +119,7 @@ def test_period_bounds_prune_the_curated_table(spark, facts, tmp_path):
     months = [f"{y}-{m:02d}" for y in (2022, 2023, 2024) for m in range(1, 13)]
     write_curated(facts(*((month, "A") for month in months)), str(tmp_path / "t"))
     table = read_curated(spark, str(tmp_path / "t"))
-    counts = period_counts(table, ("maker",), Calendar("2024-03-01"))
+    counts = period_counts(table, ("maker",), Calendar.at(spark, "2024-03-01"))
     plan = plan_of(counts)
     assert "ReadSchema: struct<maker:string>" in plan
     filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
