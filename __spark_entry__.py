@@ -11,6 +11,7 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,7 +32,7 @@ from tallytide.functions import (  # noqa: E402
     ytd_label,
 )
 from tallytide.plans import FUEL_KEYS, MAKE_KEYS, MODEL_KEYS  # noqa: E402
-from tallytide.shared import shared_folder  # noqa: E402
+from tallytide.shared import shared_folder, written  # noqa: E402
 from tallytide.sources import read_curated, read_extracts, write_csv  # noqa: E402
 
 PRIORITY_GROUPS = {"1-URGENT": "Urgent", "2-HIGH": "Expedited", "3-MEDIUM": "Expedited"}
@@ -98,34 +99,49 @@ def _on_registrations(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(registrations(spark, sf_dir))
 
 
-def _calendar(facts: DataFrame) -> op.Calendar:
-    return op.Calendar.latest(facts)[0]
+def _on_months(keys, build: Callable[..., DataFrame]) -> Query:
+    """A report on the monthly counts of ``keys``, written once.
+
+    Reports that look up the latest month, or follow their leaders, pass over the facts
+    more than once; this way the order tables are still joined only once.
+    """
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        months = written(op.monthly_counts(registrations(spark, sf_dir), keys))
+        return build(months, date="month", weight="registration")
+
+    return query
 
 
 def _period_count(period: str) -> Query:
-    return _on_registrations(
-        lambda facts: op.period_count(facts, MAKE_KEYS, _calendar(facts), period)
+    return lambda spark, sf_dir: op.period_count(
+        registrations(spark, sf_dir), MAKE_KEYS, op.Calendar.at(spark, LAST), period
     )
 
 
 def _period_counts(keys) -> Query:
-    return _on_registrations(lambda facts: op.period_counts(facts, keys, _calendar(facts)))
+    return lambda spark, sf_dir: op.period_counts(
+        registrations(spark, sf_dir), keys, op.Calendar.at(spark, LAST)
+    )
 
 
 def _summary(keys, as_of=None) -> Query:
+    if as_of is None:
+        return _on_months(keys, partial(plans.summary, keys=keys))
     return _on_registrations(lambda facts: plans.summary(facts, keys, as_of))
 
 
 def _top(keys, names) -> Query:
-    def build(facts: DataFrame) -> DataFrame:
-        counts = op.period_counts(facts, keys, _calendar(facts))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        calendar = op.Calendar.at(spark, LAST)
+        counts = op.period_counts(registrations(spark, sf_dir), keys, calendar)
         return op.top_n(counts, keys).select(*names)
 
-    return _on_registrations(build)
+    return query
 
 
-def _display(keys, as_of=None) -> Query:
-    return _on_registrations(lambda facts: plans.display_report(facts, keys, as_of))
+def _display(keys) -> Query:
+    return _on_months(keys, partial(plans.display_report, keys=keys))
 
 
 def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,10 +203,15 @@ def union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def two_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registrations of the last two yearly parts only."""
-    orders = op.union_by_name(yearly_orders(spark, sf_dir, (2000, 2001)))
-    return extract(spark, sf_dir, orders)
+def _on_two_years(build: Callable[..., DataFrame]) -> Query:
+    """A report by make on the last two yearly parts only."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = op.union_by_name(yearly_orders(spark, sf_dir, (2000, 2001)))
+        months = written(op.monthly_counts(extract(spark, sf_dir, orders), MAKE_KEYS))
+        return build(months, date="month", weight="registration")
+
+    return query
 
 
 def preview(facts: DataFrame) -> DataFrame:
@@ -202,6 +223,7 @@ def preview(facts: DataFrame) -> DataFrame:
 def _landed(spark: SparkSession, sf_dir: str) -> list[str]:
     """Two CSV extracts in the shared folder; only the first has a status column."""
     rows = extract(spark, sf_dir).drop("part").withColumn("date_reg", F.to_date("date_reg"))
+    rows = written(rows)
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     paths = [f"{folder}/to_1999", f"{folder}/from_2000"]
     write_csv(rows.where("date_reg < DATE'2000-01-01'"), paths[0])
@@ -301,11 +323,11 @@ def queries() -> dict[str, Query]:
         "summary_of_events": summary_of_events,
         "top_makes": _top(MAKE_KEYS, MAKE_KEYS),
         "top_models": _top(MODEL_KEYS, ("maker", "model")),
-        "trend_top_makes": _on_registrations(plans.top_make_trend),
+        "trend_top_makes": _on_months(MAKE_KEYS, plans.top_make_trend),
         "trend_top_makes_full_month": _on_registrations(
             lambda facts: plans.top_make_trend(facts, as_of=FULL_MONTH)
         ),
-        "trend_top_models": _on_registrations(plans.top_model_trend),
+        "trend_top_models": _on_months(MODEL_KEYS, plans.top_model_trend),
         "trend_top_models_january": _on_registrations(
             lambda facts: plans.top_model_trend(facts, as_of=JANUARY)
         ),
@@ -321,12 +343,8 @@ def queries() -> dict[str, Query]:
         "make_model_list": _on_registrations(plans.make_model_list),
         "month_floor": _on_registrations(month_floor),
         "union_years": union_years,
-        "summary_by_make_two_years": lambda spark, sf_dir: plans.summary(
-            two_years(spark, sf_dir), MAKE_KEYS
-        ),
-        "trend_top_makes_two_years": lambda spark, sf_dir: plans.top_make_trend(
-            two_years(spark, sf_dir)
-        ),
+        "summary_by_make_two_years": _on_two_years(partial(plans.summary, keys=MAKE_KEYS)),
+        "trend_top_makes_two_years": _on_two_years(plans.top_make_trend),
         "preview": _on_registrations(preview),
         "curated_build": curated_build,
         "curated_csv": curated_csv,

@@ -233,12 +233,12 @@ SELECT CAST(o_orderdate AS DATE) AS day,
 FROM orders GROUP BY ALL""",
         **{
             f"count_{period}": _simple(
-                f", {_period(period, 'maker', None)} SELECT * FROM {period}_rows"
+                f", {_period(period, 'maker', '2001-08-01')} SELECT * FROM {period}_rows"
             )
             for period in PERIOD_FILTERS
         },
         **{
-            f"period_counts_{page}": f"WITH {FACTS}, {_counts(keys, None)}"
+            f"period_counts_{page}": f"WITH {FACTS}, {_counts(keys, '2001-08-01')}"
             " SELECT * EXCLUDE (first_seen) FROM counts"
             for page, keys in (
                 ("make", "maker"),

@@ -10,6 +10,9 @@ from tallytide.shared import written
 # Largest table ranked by a window in a single task.
 SINGLE_TASK_ROWS = 1_000_000
 
+# Longest list of leading rows gathered in a single task.
+TAKE_ROWS = 10_000
+
 # monotonically_increasing_id() is the partition number above 33 bits of row position.
 _POSITION_BITS = 33
 
@@ -68,5 +71,11 @@ def with_rank(
 
 
 def top_n(counts: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:
-    """The first ``n`` rows in report order, without ranking the rest."""
-    return counts.orderBy(*report_order(keys)).limit(n)
+    """The first ``n`` rows in report order.
+
+    A short list needs no rank of the other rows. A long one would meet in one task and is
+    cut from the ranked table instead.
+    """
+    if n <= TAKE_ROWS:
+        return counts.orderBy(*report_order(keys)).limit(n)
+    return with_rank(counts, keys).where(F.col("rank") <= n).drop("rank")

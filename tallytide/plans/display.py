@@ -50,7 +50,8 @@ def display_report(
     keys: Sequence[str],
     as_of: Calendar | dt.date | str | None = None,
     date: str = "date_reg",
+    weight: str | None = None,
 ) -> DataFrame:
     """The summary of ``facts`` as a display table."""
     calendar, rows = resolve_calendar(facts, as_of, date)
-    return display(summary(facts, keys, calendar, date, max_keys=rows), calendar)
+    return display(summary(facts, keys, calendar, date, weight, rows), calendar)
