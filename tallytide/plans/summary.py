@@ -39,5 +39,6 @@ def summary(
     bounds the number of keys to rank; ``max_keys`` states such a bound otherwise.
     """
     calendar, rows = resolve_calendar(facts, as_of, date)
-    counts = with_growth(period_counts(facts, keys, calendar, date, weight))
-    return with_rank(counts, keys, max_keys if rows is None else rows).select("rank", *keys, *MEASURES)
+    counts = period_counts(facts, keys, calendar, date, weight)
+    ranked = with_rank(counts, keys, max_keys if rows is None else rows)
+    return with_growth(ranked).select("rank", *keys, *MEASURES)
