@@ -4,7 +4,8 @@ from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, functions as F
 
-# Fuel codes and their groups, and the makers counted as national.
+# Fuel codes and their groups, and the makers counted as national with the
+# names of the two classes.
 FUEL_GROUPS = {
     "petrol": "Petrol",
     "greendiesel": "Diesel",
@@ -15,6 +16,8 @@ FUEL_GROUPS = {
 }
 OTHER_GROUP = "Others"
 NATIONAL_MAKERS = ("Perodua", "Proton")
+NATIONAL = "National"
+NON_NATIONAL = "Non-National"
 
 
 def regroup(
@@ -34,4 +37,4 @@ def regroup(
 
 def maker_class(maker: Column, national: Collection[str] = NATIONAL_MAKERS) -> Column:
     """``National`` or ``Non-National``; a null maker is ``Non-National``."""
-    return F.when(maker.isin(list(national)), "National").otherwise("Non-National")
+    return F.when(maker.isin(list(national)), NATIONAL).otherwise(NON_NATIONAL)

@@ -2,6 +2,10 @@
 
 from pyspark.sql import Column, functions as F
 
+# Formats of the period labels.
+MONTH_FORMAT = "MMM-yyyy"
+YTD_PREFIX = "YTD "
+
 
 def month_start(date: Column) -> Column:
     """First day of the month, as DATE, also from a timestamp."""
@@ -25,9 +29,9 @@ def shift_years(date: Column, years: int) -> Column:
 
 def month_label(date: Column) -> Column:
     """``Aug-2025``."""
-    return F.date_format(date, "MMM-yyyy")
+    return F.date_format(date, MONTH_FORMAT)
 
 
 def ytd_label(date: Column) -> Column:
     """``YTD 2025``."""
-    return F.concat(F.lit("YTD "), F.date_format(date, "yyyy"))
+    return F.concat(F.lit(YTD_PREFIX), F.date_format(date, "yyyy"))

@@ -2,6 +2,10 @@
 
 from pyspark.sql import Column, functions as F
 
+# Colours of the growth bands.
+LOSS_COLOR = "red"
+GAIN_COLOR = "green"
+
 
 def growth(current: Column, earlier: Column) -> Column:
     """Growth as a fraction, null unless the earlier count is above zero."""
@@ -24,4 +28,4 @@ def percent_text(fraction: Column) -> Column:
 
 def growth_band(fraction: Column) -> Column:
     """``red`` up to and including zero, ``green`` above, null for null."""
-    return F.when(fraction <= 0, "red").when(fraction > 0, "green")
+    return F.when(fraction <= 0, LOSS_COLOR).when(fraction > 0, GAIN_COLOR)

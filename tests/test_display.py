@@ -17,9 +17,8 @@ def table(facts):
 
 
 def test_headings(table):
-    growths = [
-        f"Growth ({name}){form}" for name in ("MoM", "YoY", "YTD") for form in ("", " text", " color")
-    ]
+    forms = ("", " text", " color")
+    growths = [f"Growth ({name}){form}" for name in ("MoM", "YoY", "YTD") for form in forms]
     assert display_report(table, MODEL_KEYS).columns == [
         "Rank", "Make", "Model", "Fuel Type", "Jan-2025", "Dec-2024", *growths[:3],
         "Jan-2024", *growths[3:6], "YTD 2025", "YTD 2024", *growths[6:],

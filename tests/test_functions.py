@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +102,21 @@ def test_percent_text(spark, fraction, text):
     assert one(spark, fn.percent_text(F.lit(fraction).cast("double"))) == text
 
 
+def test_percent_text_rounds_exact_values(spark):
+    """Against decimal arithmetic on the exact doubles, with many values near a half."""
+    rng = random.Random(4)
+    fractions = [n / 400 for n in range(-2000, 2001)]
+    fractions += [n / 2000 + rng.choice([-1, 0, 1]) * 1e-17 for n in range(-2000, 2000)]
+    fractions += [rng.uniform(-1, 50) for _ in range(3000)]
+    fractions += [a / b - 1 for a in range(0, 60) for b in range(1, 60)]
+    texts = spark.createDataFrame([(f,) for f in fractions], "f double").select(
+        "f", fn.percent_text(F.col("f")).alias("text")
+    )
+    for fraction, text in texts.collect():
+        exact = Decimal(fraction * 100)
+        assert text == f"{exact.quantize(Decimal('0.1'), ROUND_HALF_UP):,}%", fraction
+
+
 @pytest.mark.parametrize(
     ("fraction", "band"),
     [(-0.2, "red"), (0.0, "red"), (1e-9, "green"), (3.0, "green"), (None, None)],

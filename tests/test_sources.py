@@ -165,8 +165,12 @@ def test_curate_floors_dates_and_keeps_other_columns(spark):
 
 def test_make_model_list_is_distinct_and_sorted(facts):
     table = facts(
-        ("2025-01", "b", "x"), ("2025-01", None, "x"), ("2025-01", "a", None), ("2025-02", "b", "x"),
-        ("2025-01", "B", "x"), ("2025-01", "a", "y"),
+        ("2025-01", "b", "x"),
+        ("2025-01", None, "x"),
+        ("2025-01", "a", None),
+        ("2025-02", "b", "x"),
+        ("2025-01", "B", "x"),
+        ("2025-01", "a", "y"),
     )
     assert rows_of(make_model_list(table), "maker", "model") == [
         ("B", "x"),
