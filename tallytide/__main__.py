@@ -1,4 +1,5 @@
-"""Batch jobs: ``curate`` builds the curated table, ``report`` writes every report.
+"""Batch jobs: ``curate`` builds the curated table and shows its first rows, ``report``
+writes every report and prints the anchor month.
 
     python -m tallytide curate TABLE EXTRACT [EXTRACT ...]
     python -m tallytide report TABLE FOLDER [--as-of DATE] [--top N] [--dedup]
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from tallytide.operators import preview
 from tallytide.plans import build_curated, dashboard, display, make_model_list
 from tallytide.sources import read_curated
 
@@ -49,7 +51,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
 
     spark = SparkSession.builder.appName("tallytide").getOrCreate()
     if options.job == "curate":
-        build_curated(spark, options.extracts, options.table)
+        preview(build_curated(spark, options.extracts, options.table)).show()
     else:
         report(
             spark, options.table, options.folder, options.as_of, options.top, options.dedup

@@ -5,7 +5,7 @@ import pytest
 from conftest import plan_of, rows_of
 from pyspark.sql import functions as F
 
-from tallytide.operators import Calendar, period_counts, preview, union_by_name
+from tallytide.operators import Calendar, as_of_date, period_counts, preview, union_by_name
 from tallytide.plans import build_curated, curate, make_model_list, summary
 from tallytide.sources import read_curated, read_extracts, write_csv, write_curated
 
@@ -59,6 +59,26 @@ def test_extracts_differ_in_columns_and_order(spark, landed):
     assert plan_of(result).count("Scan csv") == 2 * 2
 
 
+def test_malformed_rows_are_kept(spark, landed):
+    """A bad date is null and is counted as such; short and long rows fit the header."""
+    path = landed(
+        "a.csv",
+        "\ufeffdate_reg , maker,model,fuel\r",
+        "2025-01-15,Citroën,C3,petrol\r",
+        "2025-13-01,A,x,petrol",
+        "soon,B,y,diesel,extra",
+        "2025-02-01,C",
+    )
+    rows = read_extracts(spark, [path, landed("empty.csv", "date_reg,maker,model,fuel")])
+    assert sorted(rows_of(rows, "date_reg", "maker", "model", "fuel"), key=repr) == [
+        (None, "A", "x", "petrol"),
+        (None, "B", "y", "diesel"),
+        (D(2025, 1, 15), "Citroën", "C3", "petrol"),
+        (D(2025, 2, 1), "C", None, None),
+    ]
+    assert rows_of(as_of_date(rows), "as_of", "n_rows", "n_null_dates") == [(D(2025, 2, 1), 4, 2)]
+
+
 def test_another_header_inside_one_path_is_an_error(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.csv").write_text("date_reg,maker,model,fuel\n2024-01-01,A,x,petrol\n")
