@@ -25,10 +25,12 @@ def period_count(
     calendar: Calendar,
     period: str,
     date: str = "date_reg",
+    weight: str | None = None,
 ) -> DataFrame:
-    """Row count per key in one period, for the keys that occur in it."""
+    """Registrations per key in one period, for the keys that occur in it."""
     rows = rows_in_period(facts, calendar, period, date)
-    return rows.groupBy(*keys).agg(F.count("*").alias(f"count_{period}"))
+    counted = F.count("*") if weight is None else F.sum(weight)
+    return rows.groupBy(*keys).agg(counted.alias(f"count_{period}"))
 
 
 def period_counts(

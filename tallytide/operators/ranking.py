@@ -11,7 +11,7 @@ from tallytide.shared import written
 SINGLE_TASK_ROWS = 1_000_000
 
 # Longest list of leading rows gathered in a single task.
-TAKE_ROWS = 10_000
+TAKE_ROWS = 1_000
 
 # monotonically_increasing_id() is the partition number above 33 bits of row position.
 _POSITION_BITS = 33

@@ -8,7 +8,7 @@ from conftest import plan_of, rows_of
 
 from tallytide.__main__ import main
 from tallytide.operators import Calendar, as_of_date, keep_members, monthly_counts, period_counts
-from tallytide.operators.membership import BROADCAST_ROWS
+from tallytide.operators.membership import SHORT_LIST
 from tallytide.plans import MAKE_KEYS, MODEL_KEYS, summary, top_make_trend, top_model_trend
 from tallytide.sources import read_curated, write_curated
 
@@ -43,21 +43,20 @@ def test_raw_date_bounds_reach_the_files(spark):
     assert "ReadSchema: struct<l_suppkey:bigint,l_shipdate:timestamp_ntz>" in plan
 
 
-@pytest.mark.parametrize(
-    ("trend", "join"),
-    [
-        (top_make_trend, "BroadcastHashJoin LeftSemi BuildRight"),
-        (top_model_trend, "BroadcastHashJoin Inner BuildRight"),
-    ],
-)
-def test_leaders_are_broadcast_to_the_facts(curated, trend, join):
-    plan = plan_of(trend(curated, as_of="2001-07-01"))
-    tree = plan.split("\n\n")[0]
-    assert join in tree
-    assert "TakeOrderedAndProject" in tree
-    # Below the join the facts side is a bare scan, with no exchange.
+def test_leading_makes_filter_the_scan(curated):
+    tree, *nodes = plan_of(top_make_trend(curated, as_of="2001-07-01")).split("\n\n")
+    assert "Join" not in tree and len(re.findall("Exchange", tree)) == 1
+    assert any("PushedFilters: [In(maker, [Brand#" in node for node in nodes)
+
+
+def test_leading_models_filter_the_scan_and_are_broadcast(curated):
+    tree, *nodes = plan_of(top_model_trend(curated, as_of="2001-07-01")).split("\n\n")
+    assert "BroadcastHashJoin Inner BuildRight" in tree
+    # Below the join the facts side is a filtered scan, with no exchange.
     facts_side = tree[tree.index("BroadcastHashJoin") : tree.index("BroadcastExchange")]
     assert "Scan parquet" in facts_side and "Exchange" not in facts_side
+    pushed = next(node for node in nodes if "PushedFilters" in node)
+    assert "In(maker, [" in pushed and "In(model, [" in pushed
 
 
 def test_only_bounded_member_lists_are_broadcast(spark, curated):
@@ -65,10 +64,11 @@ def test_only_bounded_member_lists_are_broadcast(spark, curated):
     before = spark.conf.get(name)
     spark.conf.set(name, "-1")
     try:
-        monthly, members = monthly_counts(curated, MAKE_KEYS), curated.select("maker")
-        few = plan_of(keep_members(monthly, members, MAKE_KEYS, 10))
-        many = plan_of(keep_members(monthly, members, MAKE_KEYS, BROADCAST_ROWS + 1))
-        unknown = plan_of(keep_members(monthly, members, MAKE_KEYS))
+        keys = ("maker", "model")
+        monthly, members = monthly_counts(curated, keys), curated.select(*keys).limit(10)
+        few = plan_of(keep_members(monthly, members, keys, 10))
+        many = plan_of(keep_members(monthly, members, keys, SHORT_LIST + 1))
+        unknown = plan_of(keep_members(monthly, members, keys))
     finally:
         spark.conf.set(name, before)
     assert "BroadcastHashJoin" in few
@@ -86,7 +86,8 @@ def test_range_rank_holds_no_single_task_sort_of_the_keys(curated):
 
 def test_no_python_in_any_plan(spark):
     for name in ("summary_by_model", "trend_top_models_january", "display_by_make"):
-        assert "Python" not in plan_of(registered.queries()[name](spark, SF_DIR))
+        plan = plan_of(registered.queries()[name](spark, SF_DIR))
+        assert not re.search("EvalPython|InPandas|InArrow|PythonUDF", plan)
 
 
 def test_jobs_from_extracts_to_reports(spark, tmp_path):

@@ -5,7 +5,7 @@ import pytest
 from conftest import rows_of
 
 from tallytide.operators import attach_members, keep_members
-from tallytide.operators.membership import BROADCAST_ROWS
+from tallytide.operators.membership import SHORT_LIST
 from tallytide.plans import (
     FUEL_KEYS,
     MAKE_KEYS,
@@ -33,20 +33,20 @@ def leading(facts):
     )
 
 
-@pytest.mark.parametrize("n", [2, BROADCAST_ROWS + 1])
+@pytest.mark.parametrize("n", [2, SHORT_LIST + 1])
 def test_make_trend_keeps_null_makers(leading, n):
     series = set(rows_of(top_make_trend(leading, n), "month", "maker", "registration"))
     expected = {(MARCH, "A", 5), (MARCH, None, 2), (FEBRUARY, "A", 1), (FEBRUARY, None, 1)}
     assert series == (expected if n == 2 else expected | {(FEBRUARY, "C", 1)})
 
 
-@pytest.mark.parametrize("n", [3, BROADCAST_ROWS + 1])
+@pytest.mark.parametrize("n", [3, SHORT_LIST + 1])
 @pytest.mark.parametrize(("dedup", "factor"), [(False, 2), (True, 1)])
 def test_model_trend_repeats_a_model_leading_twice(leading, n, dedup, factor):
     result = top_model_trend(leading, n, dedup=dedup)
     assert result.columns == ["month", "maker", "model", "registration", "make_model"]
     series = set(rows_of(result, "month", "make_model", "registration"))
-    # Beyond the broadcast bound every key leads: "NA y" with two groups, "C z" with one.
+    # Beyond the short list every key leads: "NA y" with two groups, "C z" with one.
     null_factor = factor if n > 3 else 1
     expected = {
         (MARCH, "A x", 5 * factor),
