@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from oracles import oracle_sql  # noqa: E402, F401
+import oracles  # noqa: E402
 from tallytide import operators as op  # noqa: E402
 from tallytide import plans  # noqa: E402
 from tallytide.functions import (  # noqa: E402
@@ -55,6 +55,20 @@ SCHEMAS = {
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The operators for training data can be left out of an installation.
+try:
+    import corpus_pipeline
+    from tallytide.llm import queries as _llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tallytide.llm"):
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+else:
+    LLM_QUERIES = _llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    LLM_SQL = _llm.ORACLE_SQL | (
+        {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    )
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
@@ -355,4 +369,10 @@ def queries() -> dict[str, Query]:
         "display_filtered": _on_registrations(display_filtered),
         "dashboard_summaries": _on_registrations(dashboard_summaries),
         "dashboard_trends": _on_registrations(dashboard_trends),
+        **LLM_QUERIES,
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL for the queries, by name."""
+    return oracles.oracle_sql() | LLM_SQL

@@ -7,8 +7,8 @@ import compare
 import pytest
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = registered.queries()
-SQL = registered.oracle_sql()
+QUERIES = {n: q for n, q in registered.queries().items() if n not in registered.LLM_QUERIES}
+SQL = {n: q for n, q in registered.oracle_sql().items() if n not in registered.LLM_SQL}
 
 
 @pytest.fixture(scope="module")
