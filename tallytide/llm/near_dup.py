@@ -27,6 +27,9 @@ repeat a doc_id count as one document with several texts. Rows without an id are
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,6 +44,10 @@ SHORT_LIST = 32
 # share of 0.85 measured on SKETCH values.
 MARGIN = 0.27
 
+# The same for the comparisons inside long lists, which have longer sketches.
+WIDE = 256
+WIDE_MARGIN = 0.135
+
 _UNIT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -105,6 +112,14 @@ def _sizes_fit(percent: int, a: str, b: str) -> Column:
     )
 
 
+def _likely(a: Column, b: Column, size: int, percent: int, margin: float) -> Column:
+    """Whether the sketch of the union allows the similarity; exact if it is the whole union."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
+    common = F.size(F.array_intersect(F.array_intersect(union, a), b))
+    least = F.when(F.size(union) < size, percent / 100 - 1e-9).otherwise(percent / 100 - margin)
+    return common >= least * F.size(union)
+
+
 def _candidate_sets(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """Full sets of the representatives that may have a partner."""
     values = reps.select("rep", "n", F.explode("sketch").alias("value"))
@@ -149,12 +164,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int, all_distances: boo
         return frame
 
     if not all_distances:
-        union = F.slice(F.array_sort(F.array_union("set_a", "set_b")), 1, SKETCH)
-        common = F.array_intersect(F.array_intersect(union, "set_a"), F.col("set_b"))
-        estimate = F.size(common) / F.size(union)
         pairs = (
             attach(pairs, F.slice("values", 1, SKETCH))
-            .where(estimate >= percent / 100 - MARGIN)
+            .where(_likely(F.col("set_a"), F.col("set_b"), SKETCH, percent, MARGIN))
             .select("a", "b")
         )
     checked = (
@@ -203,17 +215,25 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     placed = written(
         members.join(distances, ["hub", "rep"], "left")
         .na.fill(0.0, ["d"])
-        .join(retained, "rep")
         .withColumn("open", F.col("d") > 1 - percent / 100)
     )
+    unsettled = placed.where("open").select("value").distinct()
+    wide = sets.select("rep", F.slice("values", 1, WIDE).alias("sketch"))
+    placed = written(
+        placed.join(unsettled, "value", "left_semi").join(retained, "rep").join(wide, "rep")
+    )
     # A pair meets in the first list of both; if that is a short one it is a candidate already.
+    # The sketch comes last, for the few pairs that everything else leaves.
+    possible = (
+        F.expr("x.value = y.value AND x.rep != y.rep AND NOT (x.open AND x.rep < y.rep)"),
+        _sizes_fit(percent, "x", "y"),
+        F.expr(f"abs(x.d - y.d) <= {1 - percent / 100} + 1e-9"),
+        F.expr("element_at(array_intersect(x.retained, y.retained), 1) = x.value"),
+        _likely(F.col("x.sketch"), F.col("y.sketch"), WIDE, percent, WIDE_MARGIN),
+    )
     rest = (
         placed.where("open").alias("y")
-        .join(placed.alias("x"), F.expr("x.value = y.value AND x.rep != y.rep"))
-        .where(_sizes_fit(percent, "x", "y"))
-        .where(F.expr(f"abs(x.d - y.d) <= {1 - percent / 100} + 1e-9"))
-        .where("NOT (x.open AND x.rep < y.rep)")
-        .where("element_at(array_intersect(x.retained, y.retained), 1) = x.value")
+        .join(placed.alias("x"), reduce(and_, possible))
         .select(F.expr("least(x.rep, y.rep)").alias("a"), F.expr("greatest(x.rep, y.rep)").alias("b"))
         .distinct()
     )
