@@ -10,12 +10,16 @@ the empty text. Null texts have no lines.
 
 A host has at most ``lines per page / ratio`` boilerplate lines, however many pages it has, so
 these are gathered per host and joined to its pages; the pages' lines are not joined one by one.
+The gathered lines are written first: Spark then knows their size, and either sends them to
+all tasks or shuffles both sides, which splits the pages of a large host.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallytide.llm.common import written
+
 RATIO = 0.3
 LEAST_PAGES = 10
 
@@ -47,7 +51,7 @@ def without_boilerplate(
     )
     totals = rows.groupBy("host").agg(F.count("*").alias("pages")).where(f"pages >= {least_pages}")
     # Shares are compared as whole numbers.
-    boilerplate = (
+    boilerplate = written(
         rows.select("host", F.explode(F.array_distinct("lines")).alias("line"))
         .groupBy("host", "line")
         .agg(F.count("*").alias("n"))
