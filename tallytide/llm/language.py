@@ -178,10 +178,12 @@ def in_known_language(
     """The rows of ``docs`` whose text is in one of the languages labelled there."""
     profiles = learn(docs.where(~held_out(id)), text, lang, id)
     importable(docs.sparkSession)
+    place = docs.columns.index(text)
 
-    @F.pandas_udf("double")
-    def score(texts):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(profiles, PROFILE)
-        return texts.map(lambda value: known.best(value or "")[1])
+        for batch in batches:
+            scores = (known.best(value)[1] for value in texts_of(batch.column(place)))
+            yield batch.filter(pa.array([score >= least for score in scores], pa.bool_()))
 
-    return docs.where(score(F.col(text)) >= least)
+    return docs.mapInArrow(keep, docs.schema)
