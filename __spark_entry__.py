@@ -74,12 +74,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def yearly_orders(spark: SparkSession, sf_dir: str, years) -> list[DataFrame]:
-    """Orders split by year, the first part without its status."""
+def yearly_orders(spark: SparkSession, sf_dir: str, years=None) -> list[DataFrame]:
+    """Orders split by year, the first part without its status.
+
+    Without ``years`` all that occur, which are few, and then the orders without a date.
+    """
     orders = table(spark, sf_dir, "orders")
-    day = F.col("o_orderdate")
+    day, dateless = F.col("o_orderdate"), []
+    if years is None:
+        found = orders.select(F.year(day).alias("year")).distinct().collect()
+        years = sorted(row["year"] for row in found if row["year"] is not None)
+        dateless = [orders.where(day.isNull())]
     parts = [orders.where((day >= f"{y}-01-01") & (day < f"{y + 1}-01-01")) for y in years]
-    return [parts[0].drop("o_orderstatus"), *parts[1:]]
+    return [part.drop("o_orderstatus") for part in parts[:1]] + parts[1:] + dateless
 
 
 def extract(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
@@ -128,15 +135,19 @@ def _on_months(keys, build: Callable[..., DataFrame]) -> Query:
 
 
 def _period_count(period: str) -> Query:
-    return lambda spark, sf_dir: op.period_count(
-        registrations(spark, sf_dir), MAKE_KEYS, op.Calendar.at(spark, LAST), period
-    )
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        facts = registrations(spark, sf_dir)
+        return op.period_count(facts, MAKE_KEYS, op.Calendar.latest(facts), period)
+
+    return query
 
 
 def _period_counts(keys) -> Query:
-    return lambda spark, sf_dir: op.period_counts(
-        registrations(spark, sf_dir), keys, op.Calendar.at(spark, LAST)
-    )
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        facts = registrations(spark, sf_dir)
+        return op.period_counts(facts, keys, op.Calendar.latest(facts))
+
+    return query
 
 
 def _summary(keys, as_of=None) -> Query:
@@ -147,8 +158,8 @@ def _summary(keys, as_of=None) -> Query:
 
 def _top(keys, names) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        calendar = op.Calendar.at(spark, LAST)
-        counts = op.period_counts(registrations(spark, sf_dir), keys, calendar)
+        facts = registrations(spark, sf_dir)
+        counts = op.period_counts(facts, keys, op.Calendar.latest(facts))
         return op.top_n(counts, keys).select(*names)
 
     return query
@@ -178,14 +189,14 @@ def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rows_of_top_makes(facts: DataFrame) -> DataFrame:
     counts = op.period_counts(facts, MAKE_KEYS, op.Calendar.at(facts.sparkSession, FULL_MONTH))
     leaders = op.top_n(counts, MAKE_KEYS, 10)
-    kept = op.keep_members(facts, leaders, MAKE_KEYS, 10)
+    kept = op.keep_members(facts, leaders, MAKE_KEYS)
     return kept.groupBy("maker", "fuel").agg(F.count("*").alias("n"))
 
 
 def rows_of_top_models(facts: DataFrame) -> DataFrame:
     counts = op.period_counts(facts, MODEL_KEYS, op.Calendar.at(facts.sparkSession, JANUARY))
     leaders = op.top_n(counts, MODEL_KEYS, 10).select("maker", "model")
-    joined = op.attach_members(facts, leaders, ("maker", "model"), 10)
+    joined = op.attach_members(facts, leaders, ("maker", "model"))
     return joined.groupBy("maker", "model", "fuel").agg(F.count("*").alias("n"))
 
 
@@ -209,8 +220,8 @@ def month_floor(facts: DataFrame) -> DataFrame:
 
 
 def union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven yearly parts with different columns, stacked by column name."""
-    rows = op.union_by_name(yearly_orders(spark, sf_dir, range(1995, 2002)))
+    """Yearly parts with different columns, stacked by column name."""
+    rows = op.union_by_name(yearly_orders(spark, sf_dir))
     year = F.year("o_orderdate").cast("bigint").alias("year")
     return rows.groupBy(year, F.col("o_orderstatus").alias("status")).agg(
         F.count("*").alias("n")
@@ -240,7 +251,7 @@ def _landed(spark: SparkSession, sf_dir: str) -> list[str]:
     rows = written(rows)
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     paths = [f"{folder}/to_1999", f"{folder}/from_2000"]
-    write_csv(rows.where("date_reg < DATE'2000-01-01'"), paths[0])
+    write_csv(rows.where("date_reg IS NULL OR date_reg < DATE'2000-01-01'"), paths[0])
     later = rows.where("date_reg >= DATE'2000-01-01'")
     write_csv(later.select("fuel", "model", "maker", "date_reg"), paths[1])
     return paths
@@ -264,6 +275,18 @@ def curated_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.summary(read_curated(spark, target, "csv"), MAKE_KEYS)
 
 
+def curated_csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models with quotes and line breaks through CSV extracts, counted by make and model."""
+    target = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    odd = F.concat(F.lit('"'), F.col("model"), F.lit('"\n'), F.col("maker"))
+    rows = extract(spark, sf_dir).select("date_reg", "maker", odd.alias("model"), "fuel")
+    write_csv(rows.withColumn("date_reg", F.to_date("date_reg")), target)
+    read = read_extracts(spark, [target], multiline=True)
+    return read.groupBy("maker", "model").agg(
+        F.count("*").alias("n"), F.max("date_reg").alias("last")
+    )
+
+
 def display_page(facts: DataFrame) -> DataFrame:
     shown = plans.display_report(facts, PART_KEYS, FULL_MONTH)
     return op.page(shown, 1, rank="Rank")
@@ -325,6 +348,9 @@ def queries() -> dict[str, Query]:
         "period_counts_make": _period_counts(MAKE_KEYS),
         "period_counts_model": _period_counts(MODEL_KEYS),
         "period_counts_fuel": _period_counts(FUEL_KEYS),
+        "count_current_full_month": lambda spark, sf_dir: op.period_count(
+            registrations(spark, sf_dir), MAKE_KEYS, op.Calendar.at(spark, FULL_MONTH), "current"
+        ),
         "combined_counts": combined_counts,
         "summary_by_make": _summary(MAKE_KEYS),
         "summary_by_model": _summary(MODEL_KEYS),
@@ -362,6 +388,7 @@ def queries() -> dict[str, Query]:
         "preview": _on_registrations(preview),
         "curated_build": curated_build,
         "curated_csv": curated_csv,
+        "curated_csv_line_breaks": curated_csv_line_breaks,
         "display_by_make": _display(MAKE_KEYS),
         "display_by_model": _display(MODEL_KEYS),
         "display_by_fuel": _display(FUEL_KEYS),

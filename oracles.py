@@ -121,9 +121,9 @@ FROM facts JOIN leaders USING (maker, model) GROUP BY ALL"""
 
 
 def _percent(growth: str) -> str:
-    x = f"({growth} * 100)"
-    half = f"abs({x}) * 4 % 2 = 1"
-    return f"format('{{:,.1f}}', CASE WHEN {half} THEN {x} + sign({x}) * 0.01 ELSE {x} END) || '%'"
+    """Rounded as a decimal, from the digits of the binary value; halves go away from zero."""
+    x = f"CAST(format('{{:.20f}}', {growth} * 100) AS DECIMAL(38, 20))"
+    return f"format('{{:,.1f}}', CAST(round({x}, 1) AS DOUBLE)) || '%'"
 
 
 def _display(
@@ -233,12 +233,12 @@ SELECT CAST(o_orderdate AS DATE) AS day,
 FROM orders GROUP BY ALL""",
         **{
             f"count_{period}": _simple(
-                f", {_period(period, 'maker', '2001-08-01')} SELECT * FROM {period}_rows"
+                f", {_period(period, 'maker', None)} SELECT * FROM {period}_rows"
             )
             for period in PERIOD_FILTERS
         },
         **{
-            f"period_counts_{page}": f"WITH {FACTS}, {_counts(keys, '2001-08-01')}"
+            f"period_counts_{page}": f"WITH {FACTS}, {_counts(keys, None)}"
             " SELECT * EXCLUDE (first_seen) FROM counts"
             for page, keys in (
                 ("make", "maker"),
@@ -246,6 +246,9 @@ FROM orders GROUP BY ALL""",
                 ("fuel", "fuel_grouped"),
             )
         },
+        "count_current_full_month": _simple(
+            f", {_period('current', 'maker', '2001-07-01')} SELECT * FROM current_rows"
+        ),
         "combined_counts": f"WITH {SHIPMENTS}, {_counts('l_suppkey, l_returnflag', '2001-01-01')}"
         " SELECT * EXCLUDE (first_seen) FROM counts",
         "summary_by_make": _summary("maker"),
@@ -298,7 +301,8 @@ FROM orders GROUP BY ALL""",
             "SELECT date_reg, fuel_grouped, count(*) AS n FROM facts GROUP BY ALL"
         ),
         "union_years": "SELECT year(o_orderdate) AS year,"
-        " CASE WHEN year(o_orderdate) > 1995 THEN o_orderstatus END AS status,"
+        " CASE WHEN year(o_orderdate) > (SELECT min(year(o_orderdate)) FROM orders)"
+        " OR o_orderdate IS NULL THEN o_orderstatus END AS status,"
         " count(*) AS n FROM orders GROUP BY ALL",
         "summary_by_make_two_years": _summary("maker", None, TWO_YEARS),
         "trend_top_makes_two_years": _trend_makes(None, TWO_YEARS),
@@ -308,10 +312,15 @@ FROM orders GROUP BY ALL""",
         ),
         "curated_build": _simple(
             "SELECT date_reg, fuel, fuel_grouped,"
-            " CASE WHEN date_reg < DATE '2000-01-01' THEN status END AS status,"
+            " CASE WHEN date_reg IS NULL OR date_reg < DATE '2000-01-01' THEN status END"
+            " AS status,"
             " count(*) AS n FROM facts GROUP BY ALL"
         ),
         "curated_csv": _summary("maker"),
+        "curated_csv_line_breaks": _simple(
+            "SELECT maker, '\"' || model || '\"' || chr(10) || maker AS model, count(*) AS n,"
+            " CAST(max(o_orderdate) AS DATE) AS last FROM facts GROUP BY ALL"
+        ),
         "display_by_make": _display(MAKE, None, LATEST_LABELS),
         "display_by_model": _display(MODEL, None, LATEST_LABELS),
         "display_by_fuel": _display(FUEL, None, LATEST_LABELS),

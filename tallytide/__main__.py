@@ -1,7 +1,7 @@
-"""Batch jobs: ``curate`` builds the curated table and shows its first rows, ``report``
+"""Batch jobs: ``curate`` builds the curated table and shows first rows and counts, ``report``
 writes every report and prints the anchor month.
 
-    python -m tallytide curate TABLE EXTRACT [EXTRACT ...]
+    python -m tallytide curate TABLE EXTRACT [EXTRACT ...] [--multiline]
     python -m tallytide report TABLE FOLDER [--as-of DATE] [--top N] [--dedup]
 
 On a cluster, hand this file to ``spark-submit`` with the package in ``--py-files``.
@@ -12,8 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from tallytide.operators import preview
-from tallytide.plans import build_curated, dashboard, display, make_model_list
+from tallytide.operators import as_of_date, preview
+from tallytide.plans import build_curated, dashboard, display
 from tallytide.sources import read_curated
 
 
@@ -31,7 +31,7 @@ def report(
         shown.write.mode("overwrite").parquet(f"{folder}/{name}_display")
     for name in ("make_trend", "model_trend", "fuel_trend"):
         getattr(pages, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-    make_model_list(facts).write.mode("overwrite").parquet(f"{folder}/make_model_list")
+    pages.make_models.write.mode("overwrite").parquet(f"{folder}/make_model_list")
     print(pages.calendar.month_current)
 
 
@@ -41,6 +41,9 @@ def main(arguments: Sequence[str] | None = None) -> None:
     curate_job = jobs.add_parser("curate", help="CSV extracts to the curated table")
     curate_job.add_argument("table")
     curate_job.add_argument("extracts", nargs="+")
+    curate_job.add_argument(
+        "--multiline", action="store_true", help="quoted values may hold line breaks"
+    )
     report_job = jobs.add_parser("report", help="curated table to all reports")
     report_job.add_argument("table")
     report_job.add_argument("folder")
@@ -51,7 +54,12 @@ def main(arguments: Sequence[str] | None = None) -> None:
 
     spark = SparkSession.builder.appName("tallytide").getOrCreate()
     if options.job == "curate":
-        preview(build_curated(spark, options.extracts, options.table)).show()
+        table = build_curated(
+            spark, options.extracts, options.table, multiline=options.multiline
+        )
+        preview(table).show()
+        found = as_of_date(table).first()
+        print(f"{found['n_rows']} rows, {found['n_null_dates']} without a readable date")
     else:
         report(
             spark, options.table, options.folder, options.as_of, options.top, options.dedup

@@ -16,6 +16,7 @@ from tallytide.functions.dates import (
     ytd_label,
 )
 
+# The names of the periods, in the order that ties follow.
 PERIODS = ("current", "previous", "previous_year", "ytd_current", "ytd_previous")
 
 
@@ -71,13 +72,10 @@ class Calendar:
         return cls(**row.asDict())
 
     @classmethod
-    def latest(cls, facts: DataFrame, date: str = "date_reg") -> tuple["Calendar", int]:
-        """Calendar of the latest month, and the number of rows, from one job."""
-        found = as_of_date(facts, date)
-        (row,) = found.select("n_rows", *calendar_columns(F.col("as_of"))).collect()
-        values = row.asDict()
-        n_rows = values.pop("n_rows")
-        return cls(**values), n_rows
+    def latest(cls, facts: DataFrame, date: str = "date_reg") -> "Calendar":
+        """Calendar of the latest month, from one job that returns one row."""
+        (row,) = reporting_calendar(facts, date).collect()
+        return cls(**row.asDict())
 
     def contains(self, period: str, date: str) -> Column:
         """Whether the column ``date`` lies in the period.
@@ -128,13 +126,13 @@ def reporting_calendar(facts: DataFrame, date: str = "date_reg") -> DataFrame:
 
 def resolve_calendar(
     facts: DataFrame, as_of: Calendar | dt.date | str | None, date: str = "date_reg"
-) -> tuple[Calendar, int | None]:
-    """The calendar to report on, and the number of rows of ``facts`` if it was counted.
+) -> Calendar:
+    """The calendar to report on.
 
     Without ``as_of`` the latest month counts as the current one, even if it is not over yet.
     """
     if as_of is None:
         return Calendar.latest(facts, date)
     if isinstance(as_of, Calendar):
-        return as_of, None
-    return Calendar.at(facts.sparkSession, as_of), None
+        return as_of
+    return Calendar.at(facts.sparkSession, as_of)

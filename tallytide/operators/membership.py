@@ -1,30 +1,13 @@
-"""Joins of a large table to a list of keys. Null keys match each other."""
+"""Joins of a large table to a list of keys. Null keys match each other.
 
-from collections.abc import Collection, Sequence
+The list stays a table. Spark knows the size of a limited one and picks the join from it.
+"""
+
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
-
-# Longest list that is fetched, filtered by and broadcast.
-SHORT_LIST = 1_000
-
-
-def _in_list(name: str, values: Collection) -> Column:
-    """Whether a column is among the values, which may include null."""
-    column = F.col(f"`{name}`")
-    known = column.isin([value for value in values if value is not None])
-    return known | column.isNull() if None in values else known
-
-
-def _narrowed(table: DataFrame, members: Sequence[Row], keys: Sequence[str]) -> DataFrame:
-    """Rows of ``table`` whose every key occurs in some member.
-
-    The values are literals, so the scan can skip row groups, and joined tables are reduced
-    before their joins.
-    """
-    listed = (_in_list(key, {member[key] for member in members}) for key in keys)
-    return table.where(reduce(and_, listed))
+from pyspark.sql import DataFrame
 
 
 def _joined(table: DataFrame, members: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -34,45 +17,11 @@ def _joined(table: DataFrame, members: DataFrame, keys: Sequence[str], how: str)
     return joined.drop(*(f"_member_{key}" for key in keys))
 
 
-def _is_short(max_members: int | None) -> bool:
-    return max_members is not None and max_members <= SHORT_LIST
-
-
-def keep_members(
-    table: DataFrame,
-    members: DataFrame,
-    keys: Sequence[str],
-    max_members: int | None = None,
-) -> DataFrame:
-    """Rows of ``table`` whose keys are among ``members``; repeated members change nothing.
-
-    ``max_members`` is a known upper bound on the number of members. A list of up to
-    ``SHORT_LIST`` is fetched and filters the scan of ``table``, which is not shuffled. For
-    a longer one, or one without a bound, Spark picks the join from the sizes it sees.
-    """
-    members = members.select(*keys)
-    if not _is_short(max_members):
-        return _joined(table, members, keys, "left_semi")
-    rows = members.collect()
-    narrowed = _narrowed(table, rows, keys)
-    if len(keys) == 1:
-        return narrowed
-    fetched = table.sparkSession.createDataFrame(rows, members.schema)
-    return _joined(narrowed, F.broadcast(fetched), keys, "left_semi")
-
+def keep_members(table: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``table`` whose keys are among ``members``; repeated members change nothing."""
+    return _joined(table, members.select(*keys), keys, "left_semi")
 
-def attach_members(
-    table: DataFrame,
-    members: DataFrame,
-    keys: Sequence[str],
-    max_members: int | None = None,
-) -> DataFrame:
-    """Inner join of ``table`` to ``members``; a repeated member repeats the matching rows.
 
-    Short lists are treated as in ``keep_members``.
-    """
-    if not _is_short(max_members):
-        return _joined(table, members, keys, "inner")
-    rows = members.collect()
-    fetched = table.sparkSession.createDataFrame(rows, members.schema)
-    return _joined(_narrowed(table, rows, keys), F.broadcast(fetched), keys, "inner")
+def attach_members(table: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of ``table`` to ``members``; a repeated member repeats the matching rows."""
+    return _joined(table, members, keys, "inner")

@@ -7,12 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallytide.operators.calendar import PERIODS
 from tallytide.shared import written
 
-# Largest table ranked by a window in a single task.
-SINGLE_TASK_ROWS = 1_000_000
-
-# Longest list of leading rows gathered in a single task.
-TAKE_ROWS = 1_000
-
 # monotonically_increasing_id() is the partition number above 33 bits of row position.
 _POSITION_BITS = 33
 
@@ -33,23 +27,15 @@ def report_order(keys: Sequence[str]) -> list[Column]:
     ]
 
 
-def with_rank(
-    counts: DataFrame, keys: Sequence[str], max_rows: int | None = None
-) -> DataFrame:
+def with_rank(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``counts``, one row per key, with a ``rank`` column in report order.
 
-    ``max_rows`` is a known upper bound on the number of rows. Up to
-    ``SINGLE_TASK_ROWS`` a plain window ranks them. Beyond that, or with no bound, the
-    rows are sorted by range over all tasks and each gets the number of rows in earlier
+    The rows are sorted by range over all tasks and each gets the number of rows in earlier
     ranges plus its position in its own. Any long run of equal counts is split too, as
     the ranges are cut in the full order. The sorted rows are written once, so that
     sizes and positions come from the same cut.
     """
     order = report_order(keys)
-    if max_rows is not None and max_rows <= SINGLE_TASK_ROWS:
-        position = F.row_number().over(Window.orderBy(*order))
-        return counts.withColumn("rank", position.cast("bigint"))
-
     placed = written(
         counts.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
     )
@@ -71,11 +57,9 @@ def with_rank(
 
 
 def top_n(counts: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:
-    """The first ``n`` rows in report order.
+    """The first ``n`` rows in report order, without a rank of the others.
 
-    A short list needs no rank of the other rows. A long one would meet in one task and is
-    cut from the ranked table instead.
+    Every task hands on its first ``n`` rows. Up to
+    ``spark.sql.execution.topKSortFallbackThreshold`` Spark keeps them in memory.
     """
-    if n <= TAKE_ROWS:
-        return counts.orderBy(*report_order(keys)).limit(n)
-    return with_rank(counts, keys).where(F.col("rank") <= n).drop("rank")
+    return counts.orderBy(*report_order(keys)).limit(n)

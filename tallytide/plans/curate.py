@@ -26,10 +26,12 @@ def build_curated(
     paths: Sequence[str],
     target: str,
     groups: Mapping[str, str] = FUEL_GROUPS,
+    multiline: bool = False,
 ) -> DataFrame:
     """Read landed extracts, curate them, write the table to ``target`` and return it."""
-    write_curated(curate(read_extracts(spark, paths), groups), target)
-    return read_curated(spark, target)
+    curated = curate(read_extracts(spark, paths, multiline=multiline), groups)
+    write_curated(curated, target)
+    return read_curated(spark, target, schema=curated.schema)
 
 
 def make_model_list(facts: DataFrame) -> DataFrame:

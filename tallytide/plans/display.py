@@ -53,5 +53,5 @@ def display_report(
     weight: str | None = None,
 ) -> DataFrame:
     """The summary of ``facts`` as a display table."""
-    calendar, rows = resolve_calendar(facts, as_of, date)
-    return display(summary(facts, keys, calendar, date, weight, rows), calendar)
+    calendar = resolve_calendar(facts, as_of, date)
+    return display(summary(facts, keys, calendar, date, weight), calendar)

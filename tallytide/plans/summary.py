@@ -13,6 +13,7 @@ MAKE_KEYS = ("maker",)
 MODEL_KEYS = ("maker", "model", "fuel_grouped")
 FUEL_KEYS = ("fuel_grouped",)
 
+# Names and order of the measures.
 MEASURES = (
     "count_current",
     "count_previous",
@@ -31,14 +32,8 @@ def summary(
     as_of: Calendar | dt.date | str | None = None,
     date: str = "date_reg",
     weight: str | None = None,
-    max_keys: int | None = None,
 ) -> DataFrame:
-    """One ranked row per key that occurs in any of the five periods.
-
-    Finding the latest month, when ``as_of`` is left out, also counts the rows, which
-    bounds the number of keys to rank; ``max_keys`` states such a bound otherwise.
-    """
-    calendar, rows = resolve_calendar(facts, as_of, date)
+    """One ranked row per key that occurs in any of the five periods."""
+    calendar = resolve_calendar(facts, as_of, date)
     counts = period_counts(facts, keys, calendar, date, weight)
-    ranked = with_rank(counts, keys, max_keys if rows is None else rows)
-    return with_growth(ranked).select("rank", *keys, *MEASURES)
+    return with_growth(with_rank(counts, keys)).select("rank", *keys, *MEASURES)

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallytide.functions.text import joined_label
 from tallytide.operators.calendar import Calendar, resolve_calendar
-from tallytide.operators.counts import monthly_counts, period_count, period_counts
-from tallytide.operators.membership import SHORT_LIST, attach_members, keep_members
+from tallytide.operators.counts import monthly_counts, period_counts
+from tallytide.operators.membership import attach_members, keep_members
 from tallytide.operators.ranking import top_n
 from tallytide.plans.summary import MAKE_KEYS, MODEL_KEYS
 
@@ -21,20 +21,9 @@ def _leaders(
     date: str,
     weight: str | None,
 ) -> DataFrame:
-    """Keys of the first ``n`` rows of the summary.
-
-    Keys of the current month come before all others, and among them ties go by key. If
-    that month alone fills a short list, the other periods are not read.
-    """
-    calendar, _ = resolve_calendar(facts, as_of, date)
-    if n <= SHORT_LIST:
-        current = period_count(facts, keys, calendar, "current", date, weight)
-        order = (F.desc("count_current"), *(F.asc_nulls_last(key) for key in keys))
-        rows = current.where("count_current > 0").orderBy(*order).limit(n).collect()
-        if len(rows) == n:
-            return facts.sparkSession.createDataFrame(rows, current.schema).select(*keys)
-    counts = period_counts(facts, keys, calendar, date, weight)
-    return top_n(counts, keys, n).select(*keys)
+    """Keys of the first ``n`` rows of the summary."""
+    calendar = resolve_calendar(facts, as_of, date)
+    return top_n(period_counts(facts, keys, calendar, date, weight), keys, n).select(*keys)
 
 
 def trend(
@@ -56,10 +45,7 @@ def top_make_trend(
 ) -> DataFrame:
     """Registrations per month of the ``n`` makes leading the current month."""
     leaders = _leaders(facts, MAKE_KEYS, n, as_of, date, weight)
-    if n <= SHORT_LIST:
-        return monthly_counts(keep_members(facts, leaders, MAKE_KEYS, n), MAKE_KEYS, date, weight)
-    # A long list: count first, which leaves one row per month and make.
-    return keep_members(monthly_counts(facts, MAKE_KEYS, date, weight), leaders, MAKE_KEYS)
+    return monthly_counts(keep_members(facts, leaders, MAKE_KEYS), MAKE_KEYS, date, weight)
 
 
 def top_model_trend(
@@ -84,12 +70,7 @@ def top_model_trend(
         .groupBy(*keys)
         .agg(repeats.cast("bigint").alias("_repeats"))
     )
-    if n <= SHORT_LIST:
-        rows = attach_members(facts, leaders, keys, n)
-        units = F.col("_repeats") if weight is None else F.col("_repeats") * F.col(weight)
-        series = monthly_counts(rows.withColumn("_units", units), keys, date, "_units")
-    else:
-        series = attach_members(monthly_counts(facts, keys, date, weight), leaders, keys).select(
-            "month", *keys, (F.col("registration") * F.col("_repeats")).alias("registration")
-        )
+    rows = attach_members(facts, leaders, keys)
+    units = F.col("_repeats") if weight is None else F.col("_repeats") * F.col(weight)
+    series = monthly_counts(rows.withColumn("_units", units), keys, date, "_units")
     return series.withColumn("make_model", joined_label(F.col("maker"), F.col("model")))

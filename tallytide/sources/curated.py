@@ -36,8 +36,19 @@ def write_csv(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").options(header=True, nullValue="NA", escape='"').csv(path)
 
 
-def read_curated(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """The curated table from Parquet, or from its CSV form."""
+def read_curated(
+    spark: SparkSession,
+    path: str,
+    format: str = "parquet",
+    schema: StructType = CURATED_SCHEMA,
+    multiline: bool = False,
+) -> DataFrame:
+    """The curated table from Parquet, or from its CSV form.
+
+    ``schema`` names columns and types, so an empty table reads back as well and no file is
+    opened to find them; give one with the extra columns of a table that has any.
+    ``multiline`` is for CSV values with line breaks, as in ``read_extracts``.
+    """
     if format == "csv":
-        return read_extracts(spark, [path], CURATED_SCHEMA)
-    return spark.read.parquet(path)
+        return read_extracts(spark, [path], schema, multiline)
+    return spark.read.schema(schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from tallytide.operators.combine import union_by_name
 
+# Columns of an extract.
 EXTRACT_SCHEMA = StructType(
     [
         StructField("date_reg", DateType()),
@@ -28,7 +29,11 @@ CSV_OPTIONS = {
 
 
 def read_extracts(
-    spark: SparkSession, paths: Sequence[str], schema: StructType = EXTRACT_SCHEMA
+    spark: SparkSession,
+    paths: Sequence[str],
+    schema: StructType = EXTRACT_SCHEMA,
+    multiline: bool = False,
+    header: Sequence[str] | None = None,
 ) -> DataFrame:
     """All rows of the extracts, matched by column name.
 
@@ -36,15 +41,19 @@ def read_extracts(
     guess types. Extracts may differ in columns and column order, but the files of one
     path must agree: a file with another header raises an error rather than shifting
     values. Extracts with the same header are read in one scan.
+
+    ``multiline`` lets a quoted value hold line breaks; each file is then read by one task.
+    ``header`` names the columns of all paths, which saves a job per path that reads them.
     """
-    reader = spark.read.options(**CSV_OPTIONS)
+    reader = spark.read.options(**CSV_OPTIONS, multiLine=multiline)
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        by_header.setdefault(tuple(reader.csv(path).columns), []).append(path)
+        columns = reader.csv(path).columns if header is None else header
+        by_header.setdefault(tuple(columns), []).append(path)
     types = {field.name: field.dataType for field in schema}
     return union_by_name(
-        spark.read.options(**CSV_OPTIONS, enforceSchema=False)
-        .schema(StructType([StructField(n, types.get(n, StringType())) for n in header]))
+        spark.read.options(**CSV_OPTIONS, enforceSchema=False, multiLine=multiline)
+        .schema(StructType([StructField(n, types.get(n, StringType())) for n in columns]))
         .csv(group)
-        for header, group in by_header.items()
+        for columns, group in by_header.items()
     )

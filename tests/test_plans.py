@@ -1,6 +1,8 @@
 """Shape of the physical plans."""
 
+import contextlib
 import re
+import uuid
 
 import __spark_entry__ as registered
 import pytest
@@ -8,8 +10,14 @@ from conftest import plan_of, rows_of
 
 from tallytide.__main__ import main
 from tallytide.operators import Calendar, as_of_date, keep_members, monthly_counts, period_counts
-from tallytide.operators.membership import SHORT_LIST
-from tallytide.plans import MAKE_KEYS, MODEL_KEYS, summary, top_make_trend, top_model_trend
+from tallytide.plans import (
+    MAKE_KEYS,
+    MODEL_KEYS,
+    dashboard,
+    summary,
+    top_make_trend,
+    top_model_trend,
+)
 from tallytide.sources import read_curated, write_curated
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -28,7 +36,7 @@ def test_latest_month_reads_no_data_columns(curated):
 
 
 def test_period_counts_take_one_scan_and_one_exchange(curated):
-    counts = period_counts(curated, MODEL_KEYS, Calendar.latest(curated)[0])
+    counts = period_counts(curated, MODEL_KEYS, Calendar.latest(curated))
     plan = plan_of(counts)
     assert len(re.findall(r"^\(\d+\) Scan", plan, re.M)) == 1
     assert len(re.findall(r"^\(\d+\) Exchange", plan, re.M)) == 1
@@ -43,36 +51,58 @@ def test_raw_date_bounds_reach_the_files(spark):
     assert "ReadSchema: struct<l_suppkey:bigint,l_shipdate:timestamp_ntz>" in plan
 
 
-def test_leading_makes_filter_the_scan(curated):
-    tree, *nodes = plan_of(top_make_trend(curated, as_of="2001-07-01")).split("\n\n")
-    assert "Join" not in tree and len(re.findall("Exchange", tree)) == 1
-    assert any("PushedFilters: [In(maker, [Brand#" in node for node in nodes)
+def shape(frame) -> list[str]:
+    """The operators of a plan, without their numbers and expressions."""
+    tree = plan_of(frame).split("\n\n")[0]
+    return re.findall(r"[A-Z][A-Za-z]+", re.sub(r"\(\d+\)", "", tree))
 
 
-def test_leading_models_filter_the_scan_and_are_broadcast(curated):
-    tree, *nodes = plan_of(top_model_trend(curated, as_of="2001-07-01")).split("\n\n")
-    assert "BroadcastHashJoin Inner BuildRight" in tree
-    # Below the join the facts side is a filtered scan, with no exchange.
-    facts_side = tree[tree.index("BroadcastHashJoin") : tree.index("BroadcastExchange")]
-    assert "Scan parquet" in facts_side and "Exchange" not in facts_side
-    pushed = next(node for node in nodes if "PushedFilters" in node)
-    assert "In(maker, [" in pushed and "In(model, [" in pushed
+@contextlib.contextmanager
+def job_count(spark):
+    """A list that holds the number of jobs run inside."""
+    group, counted = uuid.uuid4().hex, []
+    spark.sparkContext.setJobGroup(group, group)
+    yield counted
+    counted.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("", "")
 
 
-def test_only_bounded_member_lists_are_broadcast(spark, curated):
+@pytest.mark.parametrize("report", [top_make_trend, top_model_trend])
+def test_trends_have_one_plan_for_short_and_long_lists(spark, curated, report):
+    plans, jobs = [], []
+    for n in (5, 5000):
+        with job_count(spark) as counted:
+            plans.append(shape(report(curated, n, as_of="2001-07-01")))
+        jobs += counted
+    assert plans[0] == plans[1] and jobs[0] == jobs[1]
+
+
+def test_members_are_joined_as_spark_sees_fit(spark, curated):
     name = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(name)
+    keys = ("maker", "model")
+    monthly, members = monthly_counts(curated, keys), curated.select(*keys).limit(10)
+    assert "BroadcastHashJoin" in plan_of(keep_members(monthly, members, keys))
     spark.conf.set(name, "-1")
     try:
-        keys = ("maker", "model")
-        monthly, members = monthly_counts(curated, keys), curated.select(*keys).limit(10)
-        few = plan_of(keep_members(monthly, members, keys, 10))
-        many = plan_of(keep_members(monthly, members, keys, SHORT_LIST + 1))
-        unknown = plan_of(keep_members(monthly, members, keys))
+        assert "Broadcast" not in plan_of(keep_members(monthly, members, keys))
     finally:
         spark.conf.set(name, before)
-    assert "BroadcastHashJoin" in few
-    assert "Broadcast" not in many and "Broadcast" not in unknown
+
+
+def test_a_summary_is_planned_alike_with_and_without_a_month(curated):
+    assert shape(summary(curated, MODEL_KEYS)) == shape(summary(curated, MODEL_KEYS, "2001-07-01"))
+
+
+def test_summaries_of_a_dashboard_run_no_leader_jobs(spark, curated):
+    pages = dashboard(curated, as_of="2001-07-01")
+    with job_count(spark) as all_three:
+        for page in (pages.makes, pages.models, pages.fuels):
+            assert page.columns[0] == "rank"
+    with job_count(spark) as one:
+        summary(pages.cube, MAKE_KEYS, pages.calendar, "month", "registration")
+    assert all_three[0] <= 3 * one[0] + 3
+    assert "make_trend" not in vars(pages) and "model_trend" not in vars(pages)
 
 
 def test_range_rank_holds_no_single_task_sort_of_the_keys(curated):

@@ -3,7 +3,7 @@ from types import SimpleNamespace
 import pytest
 from conftest import rows_of
 
-from tallytide.shared import shared_folder, written
+from tallytide.shared import drop_intermediate, shared_folder, written
 
 
 class Context:
@@ -28,10 +28,12 @@ def test_folder_of_the_session_comes_first():
     assert shared_folder(session("local[2]", spark_checkpoint_dir="/given")) == "/given"
 
 
-def test_only_local_sessions_get_a_temporary_folder():
-    assert "tallytide-" in shared_folder(session("local[2]"))
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session("spark://head:7077"))
+def test_without_a_setting_the_warehouse_is_used():
+    assert shared_folder(session("yarn", spark_sql_warehouse_dir="hdfs:/w/")) == "hdfs:/w/_intermediate"
+    assert shared_folder(session("local[2]", spark_sql_warehouse_dir="file:/w")) == "file:/w/_intermediate"
+    for local in ("file:/w", "/w"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session("spark://head:7077", spark_sql_warehouse_dir=local))
 
 
 def test_written_tables_keep_rows_and_schema(spark):
@@ -41,3 +43,12 @@ def test_written_tables_keep_rows_and_schema(spark):
     assert sorted(rows_of(again, "n", "maker")) == [(1, "a"), (2, None)]
     assert all(shared_folder(spark).split(":")[-1] in path for path in again.inputFiles())
     assert written(table.where("false")).count() == 0
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    table = written(spark.range(3))
+    assert table.count() == 3
+    drop_intermediate(spark)
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|not found|FILE_NOT_EXIST"):
+        spark.read.parquet(*table.inputFiles()).count()
+    assert written(spark.range(2)).count() == 2

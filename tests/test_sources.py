@@ -106,6 +106,7 @@ def test_curated_table_from_extracts(spark, landed, tmp_path):
         landed("2025.csv", "maker,model,fuel,date_reg,state", "B,y,,2025-01-02,Johor"),
     ]
     table = build_curated(spark, paths, str(tmp_path / "curated"))
+    assert "state" in table.columns
     columns = ("date_reg", "maker", "model", "fuel", "fuel_grouped", "state")
     assert dict(table.dtypes)["date_reg"] == "date"
     assert sorted(rows_of(table, *columns), key=repr) == [
@@ -199,3 +200,62 @@ def test_make_model_list_is_distinct_and_sorted(facts):
         ("b", "x"),
         (None, "x"),
     ]
+
+
+def test_quoted_line_breaks_are_part_of_a_value(spark, landed, facts, tmp_path):
+    path = landed("a.csv", "date_reg,maker,model,fuel", '2024-01-05,Proton,"X', '50",petrol')
+    expected = [(D(2024, 1, 5), "Proton", "X\n50", "petrol")]
+    assert rows_of(read_extracts(spark, [path], multiline=True), "*") == expected
+    table = facts(("2024-01", 'a "b"\nc', "x,\ny", "BEV"), ("2024-02", None, "z", "BEV"))
+    write_csv(table, str(tmp_path / "csv"))
+    back = read_curated(spark, str(tmp_path / "csv"), "csv", multiline=True)
+    assert sorted(rows_of(back, "*"), key=repr) == sorted(rows_of(table, "*"), key=repr)
+
+
+def test_a_known_header_saves_the_look_at_each_path(spark, landed):
+    path = landed("a.csv", "date_reg,maker,model,fuel", "2024-01-05,A,x,petrol")
+    header = ("date_reg", "maker", "model", "fuel")
+    found = read_extracts(spark, [path], header=header)
+    assert rows_of(found, "*") == [(D(2024, 1, 5), "A", "x", "petrol")]
+
+
+@pytest.mark.parametrize("rows", [(), ("NA,A,x,petrol", "soon,B,y,diesel")])
+def test_curated_schema_does_not_depend_on_the_rows(spark, landed, tmp_path, rows):
+    path = landed("a.csv", "date_reg,maker,model,fuel,state", *(f"{row},Johor" for row in rows))
+    table = build_curated(spark, [path], str(tmp_path / "curated"))
+    assert dict(table.dtypes) == {
+        "date_reg": "date", "maker": "string", "model": "string", "fuel": "string",
+        "state": "string", "fuel_grouped": "string",
+    }
+    assert table.count() == len(rows) == table.where("date_reg IS NULL").count()
+    assert rows_of(read_curated(spark, str(tmp_path / "curated")), "maker") == rows_of(table, "maker")
+
+
+def test_queries_keep_rows_without_a_date_and_other_years(spark, tmp_path):
+    """A small copy of the order tables, with dates that the test data does not have."""
+    import compare
+
+    import __spark_entry__ as registered
+
+    source = "/root/testdata/sf0.001"
+    for name in ("lineitem", "part"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    day = F.col("o_orderdate")
+    odd = (
+        F.when(F.col("o_orderkey") % 50 == 0, None)
+        .when(F.col("o_orderkey") % 50 == 1, F.lit("2007-03-09").cast("timestamp_ntz"))
+        .when(F.col("o_orderkey") % 50 == 2, F.lit("1990-03-09").cast("timestamp_ntz"))
+        .otherwise(day)
+    )
+    orders = spark.read.parquet(f"{source}/orders.parquet").withColumn("o_orderdate", odd)
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    connection = compare.duckdb.connect()
+    for name in ("lineitem", "part", "orders"):
+        connection.execute(
+            f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')"
+        )
+    queries, sql = registered.queries(), registered.oracle_sql()
+    names = ("union_years", "curated_build", "top_makes", "count_current", "period_counts_fuel")
+    for name in names:
+        found = compare.of_spark(queries[name](spark, str(tmp_path)))
+        assert found == compare.of_sql(connection, sql[name]), name
