@@ -117,7 +117,7 @@ def learn(
             for name, counter in found.items():
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name] * len(counter)),
+                        pa.array([name] * len(counter), pa.string()),
                         pa.array(list(counter), pa.int64()),
                         pa.array(list(counter.values()), pa.int64()),
                     ],
