@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallytide.llm.common import importable, map_batches, texts_of, written
 
-MASKS = ("11111", "110111", "111011")
+MASKS = ("11111", "110111", "11001011")
 WINDOW = 20
 AGREE = 80
 LEAST_WORDS = 8
