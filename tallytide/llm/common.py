@@ -22,6 +22,9 @@ __all__ = [
     "written",
 ]
 
+# Rows given to a batch function at a time.
+ROWS = 1_000
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -58,7 +61,9 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(columns(batch), names=names)
+            # What the function holds at a time does not depend on Spark's batch size.
+            for at in range(0, batch.num_rows, ROWS):
+                yield pa.RecordBatch.from_arrays(columns(batch.slice(at, ROWS)), names=names)
 
     return frame.mapInArrow(run, schema)
 
