@@ -9,8 +9,8 @@ union sketch, and an exact check on full sets.
 * Equal sets form one class, represented by its smallest id; only representatives go on.
 * A document that has a partner shares most retained values with it. The inverted lists of the
   retained values tell which values occur in two sketches; documents with too few of these
-  have no partner (for sets within the sketch this is exact, beyond it the chance of losing a
-  pair is below 1e-12).
+  have no partner. For sets within the sketch this is exact, also when a partner's set is
+  larger than that; beyond it the chance of losing a pair is below 1e-13.
 * For the rest, full sets are ordered by rarity, and each document retains its rarest values:
   one more than a partner may lack, so partners meet in the list of one of these values.
 * In a short list all pairs are candidates. In a long one every member is compared with a hub,
@@ -18,8 +18,9 @@ union sketch, and an exact check on full sets.
   with each other; the others are compared with those members that size, shared values and the
   distance to the hub (a metric) leave possible. No list emits all its pairs, and no link
   between components is lost.
-* The union sketch drops candidates more than six standard deviations below the threshold
-  (exact for small sets); intersections of full sets decide.
+* The union sketch drops candidates far below the threshold (exact for small sets, and
+  otherwise wrong for a pair at the threshold with a chance below 1e-12); intersections of
+  full sets decide.
 
 Nulls and texts without words give the empty set, which is linked with nothing. Rows that
 repeat a doc_id count as one document with several texts. Rows without an id are kept apart.
@@ -40,13 +41,17 @@ from tallytide.llm.common import map_batches, texts_of, written
 SKETCH = 64
 SHORT_LIST = 32
 
-# Estimates below the threshold by this much are dropped: six standard deviations of a
-# share of 0.85 measured on SKETCH values.
-MARGIN = 0.27
+# Values of a full sketch that are in a partner's too, at least: less than half, where 0.8 of
+# them are expected at the lowest threshold in use.
+LEAST_COMMON = 24
+
+# Estimates below the threshold by this much are dropped: eight standard deviations of a
+# share of 0.8 measured on SKETCH values.
+MARGIN = 0.4
 
 # The same for the comparisons inside long lists, which have longer sketches.
 WIDE = 256
-WIDE_MARGIN = 0.135
+WIDE_MARGIN = 0.2
 
 _UNIT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -124,7 +129,12 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, words: int, percent: int)
     """Full sets of the representatives that may have a partner."""
     values = reps.select("rep", "n", F.explode("sketch").alias("value"))
     repeated = values.groupBy("value").count().where("count > 1").select("value")
-    enough = F.when(F.col("n") <= SKETCH, _least(percent)).otherwise(SKETCH // 2)
+    # A small set's partner may have this many values, and lack some of them in its sketch.
+    largest = f"100 * n div {percent}"
+    lacking = F.greatest(F.lit(0), F.expr(f"{largest} - {SKETCH}"))
+    enough = F.when(
+        F.col("n") <= SKETCH, F.least(_least(percent), _least(percent, f"({largest})") - lacking)
+    ).otherwise(LEAST_COMMON)
     found = (
         values.join(repeated, "value", "left_semi")
         .groupBy("rep", "n")

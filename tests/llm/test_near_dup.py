@@ -69,6 +69,22 @@ def test_components_equal_all_pairs(spark, monkeypatch, seed, words, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+def test_links_of_sets_about_as_large_as_a_sketch(spark, words, percent):
+    """The larger text of a pair has values beyond its sketch, the smaller one has not."""
+    rng, rows = random.Random(3), []
+    for size in range(near_dup.SKETCH - 14, near_dup.SKETCH + 20):
+        for more in (size * 100 // percent - size, (size * 100 // percent - size) // 2):
+            for _ in range(3):
+                text = [f"w{rng.randrange(10**9)}" for _ in range(size + more + words - 1)]
+                rows.append((len(rows), " ".join(text)))
+                rows.append((len(rows), " ".join(text[: size + words - 1])))
+    found = near_duplicates(edge.documents(spark, *rows), words=words, percent=percent).collect()
+    roots, _ = exact(rows, words, percent)
+    assert len(set(roots.values())) == len(rows) // 2
+    assert {r["doc_id"]: r["component_id"] for r in found} == roots
+
+
 def test_odd_rows(spark):
     found = near_duplicates(edge.odd(spark)).collect()
     roots, _ = exact([row[:2] for row in edge.ODD_ROWS])
