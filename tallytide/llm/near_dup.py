@@ -10,7 +10,7 @@ union sketch, and an exact check on full sets.
 * A document that has a partner shares most retained values with it. The inverted lists of the
   retained values tell which values occur in two sketches; documents with too few of these
   have no partner. For sets within the sketch this is exact, also when a partner's set is
-  larger than that; beyond it the chance of losing a pair is below 1e-13.
+  larger than that; beyond it a pair at the threshold is lost with a chance below ``CHANCE``.
 * For the rest, full sets are ordered by rarity, and each document retains its rarest values:
   one more than a partner may lack, so partners meet in the list of one of these values.
 * In a short list all pairs are candidates. In a long one every member is compared with a hub,
@@ -18,9 +18,8 @@ union sketch, and an exact check on full sets.
   with each other; the others are compared with those members that size, shared values and the
   distance to the hub (a metric) leave possible. No list emits all its pairs, and no link
   between components is lost.
-* The union sketch drops candidates far below the threshold (exact for small sets, and
-  otherwise wrong for a pair at the threshold with a chance below 1e-12); intersections of
-  full sets decide.
+* The union sketch drops candidates far below the threshold (exact for small sets, otherwise
+  with the same chance of losing a pair); intersections of full sets decide.
 
 Nulls and texts without words give the empty set, which is linked with nothing. Rows that
 repeat a doc_id count as one document with several texts. Rows without an id are kept apart.
@@ -29,6 +28,7 @@ repeat a doc_id count as one document with several texts. Rows without an id are
 from __future__ import annotations
 
 from functools import reduce
+from math import comb
 from operator import and_
 
 import numpy as np
@@ -41,17 +41,11 @@ from tallytide.llm.common import map_batches, texts_of, written
 SKETCH = 64
 SHORT_LIST = 32
 
-# Values of a full sketch that are in a partner's too, at least: less than half, where 0.8 of
-# them are expected at the lowest threshold in use.
-LEAST_COMMON = 24
-
-# Estimates below the threshold by this much are dropped: eight standard deviations of a
-# share of 0.8 measured on SKETCH values.
-MARGIN = 0.4
-
-# The same for the comparisons inside long lists, which have longer sketches.
+# The same for the comparisons inside long lists.
 WIDE = 256
-WIDE_MARGIN = 0.2
+
+# How likely a full sketch may hide a pair whose similarity is the threshold itself.
+CHANCE = 1e-10
 
 _UNIT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -109,6 +103,18 @@ def _least(percent: int, n: str = "n") -> Column:
     return F.expr(f"({percent} * {n} + 99) div 100")
 
 
+def _fewest_common(percent: int, size: int) -> int:
+    """Values of a full sketch of a union that are in both sets, at least.
+
+    They are as many as in a binomial draw of ``size`` at the threshold, which falls short of
+    the result with a chance below ``CHANCE``.
+    """
+    share, below, count = percent / 100, 0.0, 0
+    while (below := below + comb(size, count) * share**count * (1 - share) ** (size - count)) < CHANCE:
+        count += 1
+    return count
+
+
 def _sizes_fit(percent: int, a: str, b: str) -> Column:
     """Whether sizes, and values found elsewhere at all, allow the similarity."""
     return F.expr(
@@ -117,12 +123,12 @@ def _sizes_fit(percent: int, a: str, b: str) -> Column:
     )
 
 
-def _likely(a: Column, b: Column, size: int, percent: int, margin: float) -> Column:
+def _likely(a: Column, b: Column, size: int, percent: int) -> Column:
     """Whether the sketch of the union allows the similarity; exact if it is the whole union."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
     common = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    least = F.when(F.size(union) < size, percent / 100 - 1e-9).otherwise(percent / 100 - margin)
-    return common >= least * F.size(union)
+    least = F.lit(percent / 100 - 1e-9) * F.size(union)
+    return common >= F.when(F.size(union) < size, least).otherwise(_fewest_common(percent, size))
 
 
 def _candidate_sets(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -134,7 +140,7 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, words: int, percent: int)
     lacking = F.greatest(F.lit(0), F.expr(f"{largest} - {SKETCH}"))
     enough = F.when(
         F.col("n") <= SKETCH, F.least(_least(percent), _least(percent, f"({largest})") - lacking)
-    ).otherwise(LEAST_COMMON)
+    ).otherwise(_fewest_common(percent, SKETCH))
     found = (
         values.join(repeated, "value", "left_semi")
         .groupBy("rep", "n")
@@ -176,7 +182,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int, all_distances: boo
     if not all_distances:
         pairs = (
             attach(pairs, F.slice("values", 1, SKETCH))
-            .where(_likely(F.col("set_a"), F.col("set_b"), SKETCH, percent, MARGIN))
+            .where(_likely(F.col("set_a"), F.col("set_b"), SKETCH, percent))
             .select("a", "b")
         )
     checked = (
@@ -239,7 +245,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         _sizes_fit(percent, "x", "y"),
         F.expr(f"abs(x.d - y.d) <= {1 - percent / 100} + 1e-9"),
         F.expr("element_at(array_intersect(x.retained, y.retained), 1) = x.value"),
-        _likely(F.col("x.sketch"), F.col("y.sketch"), WIDE, percent, WIDE_MARGIN),
+        _likely(F.col("x.sketch"), F.col("y.sketch"), WIDE, percent),
     )
     rest = (
         placed.where("open").alias("y")
