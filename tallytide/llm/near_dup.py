@@ -124,11 +124,16 @@ def _sizes_fit(percent: int, a: str, b: str) -> Column:
 
 
 def _likely(a: Column, b: Column, size: int, percent: int) -> Column:
-    """Whether the sketch of the union allows the similarity; exact if it is the whole union."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    common = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    least = F.lit(percent / 100 - 1e-9) * F.size(union)
-    return common >= F.when(F.size(union) < size, least).otherwise(_fewest_common(percent, size))
+    """Whether the sketch of the union allows the similarity; exact if it is the whole union.
+
+    The union is made and sorted only if the sketches have enough values in common at all.
+    """
+    both, fewest = F.array_intersect(a, b), _fewest_common(percent, size)
+    union = F.size(a) + F.size(b) - F.size(both)
+    lowest = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
+    return F.when(
+        union < size, F.size(both) >= F.lit(percent / 100 - 1e-9) * union
+    ).otherwise((F.size(both) >= fewest) & (F.size(F.array_intersect(lowest, both)) >= fewest))
 
 
 def _candidate_sets(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
