@@ -2,7 +2,8 @@
 
 A line's frequency on a host is the number of the host's pages that contain it, in parts of
 all its pages. Lines above a ratio are boilerplate and are dropped from the pages of that host
-alone. Hosts with fewer than ``LEAST_PAGES`` pages say too little and keep all lines.
+alone, if they are on ``LEAST_REPEATS`` pages at least. Hosts with fewer than ``least_pages``
+pages keep all lines: ``LEAST_PAGES`` by default, 1 for no such limit.
 
 A page counts once for a line it repeats. Lines are compared as they are after trimming
 blanks; empty ones are dropped. Pages without a host form one group, as do pages whose host is
@@ -22,6 +23,8 @@ from tallytide.llm.common import written
 
 RATIO = 0.3
 LEAST_PAGES = 10
+# On a host of two or three pages, a line of a single page is above the ratio as well.
+LEAST_REPEATS = 2
 
 
 def text_lines(html: Column) -> Column:
@@ -56,6 +59,7 @@ def without_boilerplate(
         .groupBy("host", "line")
         .agg(F.count("*").alias("n"))
         .join(totals, "host")
+        .where(F.col("n") >= LEAST_REPEATS)
         .where(F.col("n") * 1000 > F.col("pages") * round(ratio * 1000))
         .groupBy("host")
         .agg(F.collect_list("line").alias("drop"))

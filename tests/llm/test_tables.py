@@ -181,6 +181,16 @@ def test_lines_above_the_ratio_go_from_their_host_alone(spark):
     assert empty.count() == 0
 
 
+def test_small_hosts_lose_what_their_pages_share_if_no_least_size_is_set(spark):
+    rows = [(10 * n + i, f"h{n}", f"menu\nown {n} {i}") for n in range(1, 10) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id bigint, host string, html string")
+    found = lines.without_boilerplate(pages, "page_id", F.col("host"), F.col("html"), least_pages=1)
+    texts = {r["page_id"]: r["text"] for r in found.collect()}
+    assert texts == {
+        page: text if host == "h1" else text.removeprefix("menu\n") for page, host, text in rows
+    }
+
+
 def test_masks_hit_every_window_with_as_many_substitutions_as_agree():
     def hit(n, changed):
         return any(
