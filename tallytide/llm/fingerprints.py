@@ -5,8 +5,9 @@ is selected, the rightmost one of equals. So any passage of ``gram + window - 1`
 that two texts share puts at least one common hash into both fingerprints. The hash of a run
 comes from those of its halves, so a whole text is hashed in a few array operations.
 
-A text shorter than a run is one run; one with fewer runs than a window selects one. Null is
-the empty text, whose fingerprint is empty.
+Both are smaller for a short text, so that two thirds of it, rounded up, are always such a
+passage: windows from 93 code points downwards, runs below 17. Runs of texts that short match
+only those of equal length. Null is the empty text, whose fingerprint is empty.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallytide.llm.common import importable
 
-GRAM = 24
-WINDOW = 64
+GRAM = 12
+WINDOW = 52
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -59,9 +60,21 @@ def gram_hashes(points: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return (total >> np.uint64(32)).astype(np.uint32)
 
 
-def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def widths(n: int) -> tuple[int, int]:
+    """(gram, window) of a text of ``n`` code points."""
+    unchanged = max(1, n - n // 3)
+    gram = min(GRAM, unchanged)
+    return gram, min(WINDOW, unchanged - gram + 1)
+
+
+def winnow(
+    text: str, gram: int | None = None, window: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of the selected runs, in the order of the text."""
-    hashes = gram_hashes(code_points(text), gram)
+    points = code_points(text)
+    own = widths(len(points))
+    gram, window = gram or own[0], window or own[1]
+    hashes = gram_hashes(points, gram)
     n = len(hashes)
     if n == 0:
         return hashes, np.empty(0, np.int64)
@@ -94,7 +107,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW
+    docs: DataFrame, id: str = "doc_id", text: str = "text", gram: int | None = None,
+    window: int | None = None,
 ) -> DataFrame:
     """(doc_id, fingerprint) of every row."""
     from tallytide.llm.common import map_batches, texts_of

@@ -164,6 +164,15 @@ def test_a_shared_passage_is_found():
         assert set(a.tolist()) & set(b.tolist())
 
 
+def test_every_text_has_a_hash_in_common_with_its_edited_text():
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefgh é日", k=n))
+    for n in range(1, 200):
+        text = letters(n)
+        own, other = (fingerprints.winnow(t)[0] for t in (text, fingerprints.edited(text, letters(n))))
+        assert set(own.tolist()) & set(other.tolist()), n
+
+
 def check_next(spark, docs, rows):
     found = fingerprints.compared_with_next(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
