@@ -9,6 +9,11 @@ in parts of that length.
 Profiles are learnt from labelled documents with the text alone, from about ``SAMPLE`` of each
 language, picked by a hash of the id. Null texts and texts without a letter are ``und`` with
 score 0; so is everything if nothing is labelled. Ties go to the first language by name.
+
+A text is in none of the learnt languages if it scores too low for its language and number of
+letters: below ``SLACK`` of the lowest score among the labelled documents of that language and
+size that were rightly told. The fewer these are, the closer the bound is to ``LEAST_SCORE``,
+which it is where there are none.
 """
 
 from __future__ import annotations
@@ -27,8 +32,11 @@ SAMPLE = 2_000
 PROFILE = 300
 UNDECIDED = "und"
 
-# Documents below this score are in none of the learnt languages.
+# Documents below this score are in none of the learnt languages, whatever their size.
 LEAST_SCORE = 0.1
+SLACK = 0.9
+# As many labelled documents take a bound half of the way up from ``LEAST_SCORE``.
+HALFWAY = 8
 
 _BOUNDARY = 1
 _BITS = np.uint64(21)
@@ -56,6 +64,12 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([one, two, three[inner]]), return_counts=True)
 
 
+def size_of(text: str) -> int:
+    """The number of binary digits of a text's number of letters."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return int(_letters()[points].sum()).bit_length()
+
+
 def profile(values: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
     """The most frequent n-grams, ties by value."""
     if len(values) > size:
@@ -136,6 +150,40 @@ def learn(
     return profiles
 
 
+def least_scores(
+    docs: DataFrame, profiles: Mapping[str, list[int]], text: str, lang: str, least: float
+) -> dict[tuple[str, int], float]:
+    """The bound of each language and size that labelled documents have."""
+    importable(docs.sparkSession)
+    rows = docs.select(
+        F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    ).where("lang IS NOT NULL")
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Profiles(profiles, PROFILE)
+        for batch in batches:
+            found: dict[tuple[str, int], list[float]] = {}
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                best, score = known.best(value)
+                if best == name and score >= least:
+                    found.setdefault((name, size_of(value)), []).append(score)
+            if found:
+                columns = zip(*((*key, len(scores), min(scores)) for key, scores in found.items()))
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds)],
+                    names=["lang", "size", "n", "least"],
+                )
+
+    bounds = rows.mapInArrow(lowest, "lang string, size bigint, n bigint, least double")
+    bounds = bounds.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    return {
+        (r["lang"], r["size"]): least
+        + max(0.0, SLACK * r["least"] - least) * r["n"] / (r["n"] + HALFWAY)
+        for r in bounds.collect()
+    }
+
+
 def predict(
     docs: DataFrame, profiles: Mapping[str, list[int]], text: str, columns: dict[str, Column],
     size: int = PROFILE,
@@ -176,14 +224,18 @@ def in_known_language(
     least: float = LEAST_SCORE,
 ) -> DataFrame:
     """The rows of ``docs`` whose text is in one of the languages labelled there."""
-    profiles = learn(docs.where(~held_out(id)), text, lang, id)
-    importable(docs.sparkSession)
+    taught = docs.where(~held_out(id))
+    profiles = learn(taught, text, lang, id)
+    bounds = least_scores(taught, profiles, text, lang, least)
     place = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(profiles, PROFILE)
         for batch in batches:
-            scores = (known.best(value)[1] for value in texts_of(batch.column(place)))
-            yield batch.filter(pa.array([score >= least for score in scores], pa.bool_()))
+            kept = []
+            for value in texts_of(batch.column(place)):
+                name, score = known.best(value)
+                kept.append(score >= least and score >= bounds.get((name, size_of(value)), least))
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

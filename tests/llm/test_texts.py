@@ -52,6 +52,24 @@ def test_languages_of_odd_rows(spark):
     assert {r["lang_pred"] for r in language.languages(unlabelled).collect()} == {"und"}
 
 
+def test_foreign_texts_and_junk_are_in_no_known_language(spark):
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    foreign = (
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni"
+        " obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. ",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on"
+        " annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. ",
+        " ".join(letters(rng.randrange(3, 10)) for _ in range(60)),
+        letters(400),
+    )
+    docs = table(spark, SF_DIR, "documents").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(-i, t * 5, None) for i, t in enumerate(foreign, 1)], docs.schema)
+    kept = {r["doc_id"] for r in language.in_known_language(docs.union(extra)).collect()}
+    # None of the clean documents goes, held out or not.
+    assert kept == {r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))}
+
+
 def test_out_of_place_distance():
     profiles = language.Profiles({"x": [ord(c) for c in "abc"], "y": [ord(c) for c in "cba"]}, 3)
     assert profiles.ranks[:3].tolist() == [[0, 2], [1, 1], [2, 0]]
