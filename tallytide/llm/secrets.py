@@ -7,7 +7,9 @@ recursively with the states below them. Letters are grouped into classes, so tha
 learns formats rather than values. One more automaton is learnt from runs of the same
 characters that no pattern found. Every such run in any text, of ``SHORTEST`` characters or
 more, is then scored: it is added as a secret of the likeliest kind if it is more likely a
-credential than an ordinary run by ``MARGIN`` bits and holds a digit.
+credential than an ordinary run by ``MARGIN`` bits. So are what a pattern's find leaves of a run,
+what follows the first ``=`` of a run, and each part between separators; of those that overlap,
+the longest credential is added.
 
 Spans are in code points, end exclusive; those of the patterns cover the whole match and
 always stay. Added spans do not overlap them. Null counts as the empty text.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -42,6 +45,8 @@ LEAST_ASSIGN = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
+_PART = re.compile(rf"[A-Za-z0-9]{{{SHORTEST},}}")
+_NAME = re.compile("[^=]*=+")
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 
 # Classes of characters and their sizes; others stand for themselves.
@@ -69,14 +74,39 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def runs(text: str, taken: Sequence[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates: (start, end, value) of runs with a digit that overlap no pattern's find."""
-    found = []
+def runs(
+    text: str, taken: Sequence[tuple[str, int, int, str]]
+) -> list[tuple[str, int, int, str]]:
+    """Candidates: (kind, start, end, value) of runs beside the patterns' finds and of their parts.
+
+    The kind is empty; it is ``rest`` for what follows an ``=``, which is scored only.
+    """
+    found: dict[tuple[int, int], str] = {}
     for m in _RUN.finditer(text):
-        start, end = m.span()
-        if any(map(str.isdigit, m[0])) and not any(s < end and start < e for _, s, e, _ in taken):
-            found.append((start, end, m[0]))
-    return found
+        begin, pieces = m.start(), []
+        for _, start, end, _ in taken:
+            if start < m.end() and m.start() < end:
+                pieces.append((begin, start))
+                begin = max(begin, end)
+        for start, end in [*pieces, (begin, m.end())]:
+            if end - start < SHORTEST:
+                continue
+            found[start, end] = ""
+            found |= {p.span(): "" for p in _PART.finditer(text, start, end)}
+            name = _NAME.match(text, start, end)
+            if name:
+                found.setdefault((name.end(), end), "rest")
+    return [(k, b, e, text[b:e]) for (b, e), k in sorted(found.items()) if e - b >= SHORTEST]
+
+
+def longest_apart(spans: Iterable[Span]) -> list[Span]:
+    """The longest spans that do not overlap, the first one of equals."""
+    kept: list[tuple[int, int, str]] = []
+    for kind, start, end in sorted(spans, key=lambda s: (s[1] - s[2], s[1])):
+        at = bisect(kept, (start,))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+            kept.insert(at, (start, end, kind))
+    return [(kind, start, end) for start, end, kind in kept]
 
 
 class Automaton:
@@ -207,7 +237,7 @@ def scan(docs: DataFrame, id: str, text: str) -> DataFrame:
             found = base_spans(value)
             as_dict = lambda s: dict(zip(("kind", "start", "end", "value"), s))
             base.append([as_dict(s) for s in found])
-            others.append([as_dict(("", *s)) for s in runs(value, found)])
+            others.append([as_dict(s) for s in runs(value, found)])
         return [batch.column(0), pa.array(base, _SPAN_TYPE), pa.array(others, _SPAN_TYPE)]
 
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -243,7 +273,7 @@ def secrets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
                 (
                     *(sum(s[0] == kind for s in found) for kind in KINDS),
                     hashlib.sha256(as_text(found).encode()).hexdigest(),
-                    as_text([*found, *(s for s in added if s[0])]),
+                    as_text([*found, *longest_apart(s for s in added if s[0])]),
                 )
             )
         kinds = [pa.int64()] * 3 + [pa.string()] * 2

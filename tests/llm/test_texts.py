@@ -107,6 +107,21 @@ def test_automata_add_credentials_of_a_learnt_format(spark):
     assert secrets.secrets(edge.none(spark)).count() == 0
 
 
+def test_credentials_inside_longer_runs_are_added(spark):
+    rng = random.Random(4)
+    key = lambda: "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))
+    rows = [(i, f"the key {key()} and more") for i in range(200)]
+    rows += [(1000 + i, f"number {rng.randrange(10**16, 10**17)} of order") for i in range(200)]
+    rows += [
+        (2000, "AWS_KEY=ASIA7Q2M4XK9ZB1LC8RT"), (2001, "at /v1/ASIA7Q2M4XK9ZB1LC8RT/list now"),
+        (2002, "ASIA7Q2M4XK9ZB1LC8RT-" + "0123456789abcdef" * 2),
+    ]
+    found = {r["doc_id"]: r["spans"] for r in secrets.secrets(edge.documents(spark, *rows)).collect()}
+    assert found[2000] == "access:8:28" and found[2001] == "access:7:27"
+    assert found[2002] == "access:0:20,hex:21:53"
+    assert all(found[1000 + i] == "" for i in range(200))
+
+
 def test_merged_states_accept_what_the_tree_has_not_seen():
     automaton = secrets.Automaton(["ab" * n for n in range(1, 40) for _ in range(5)])
     assert len(automaton.next) > 2
