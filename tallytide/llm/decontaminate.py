@@ -6,8 +6,9 @@ document. There, words are compared place by place: the document holds the item
 ``WINDOW`` successive words of it (the whole item, if it is shorter) agree in ``AGREE`` percent.
 The masks hit every such window with as many substitutions as that allows, wherever they are.
 
-Words are lower-cased runs of letters, digits and underscores. Items of fewer than
-``LEAST_WORDS`` words are too common to look for. Nulls have no words. Rows that repeat a doc_id
+Words are lower-cased runs of letters, digits and underscores; in scripts without spaces, every
+letter is a word. Items of fewer than ``LEAST_WORDS`` words are not looked for; ``too_short``
+lists them. Nulls have no words. Rows that repeat a doc_id
 are one document with several texts.
 
 Documents' seeds first pass a bitmap of fixed size over the benchmark's seeds, so that only
@@ -36,11 +37,20 @@ LEAST_WORDS = 8
 _BITS = 1 << 22
 
 _WORD = re.compile(r"\w+")
+# Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+)
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORD_OR_LETTER = re.compile(rf"(?!\W)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _UNIT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    words = _WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    unspaced = not text.isascii() and _ANY_UNSPACED.search(text)
+    words = (_WORD_OR_LETTER if unspaced else _WORD).findall(text)
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
@@ -214,6 +224,17 @@ def overlaps(
     )
 
 
+def too_short(benchmark: DataFrame, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_id, n_words) of the items that are not looked for."""
+    rows = benchmark.select(F.col(item).cast("bigint").alias("item_id"), F.col(item_text).alias("text"))
+
+    def columns(batch: pa.RecordBatch) -> list:
+        counts = [len(word_hashes(text)) for text in texts_of(batch.column(1))]
+        return [batch.column(0), pa.array(counts, pa.int64())]
+
+    return map_batches(rows, columns, "item_id bigint, n_words bigint").where(f"n_words < {LEAST_WORDS}")
+
+
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text",
     item: str = "item_id", item_text: str = "text",

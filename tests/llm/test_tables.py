@@ -251,6 +251,17 @@ def test_overlaps_equal_all_alignments(spark):
     assert decontaminate.decontaminated(edge.none(spark), bench).count() == 0
 
 
+def test_letters_of_scripts_without_spaces_are_words(spark):
+    items = [(1, "春天来了花园里的树木都长出了新的叶子"), (2, "きょうはとてもいいてんきです"), (3, "短い文"), (4, "a b c")]
+    docs = edge.documents(
+        spark, (1, f"从前{items[0][1]}后来下雨"), (2, f"x{items[1][1]}y"), (3, "春天来了短い文"), (4, "a b c")
+    )
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {tuple(r)[:2] for r in decontaminate.overlaps(docs, bench).collect()}
+    assert found == {(1, 1), (2, 2)}
+    assert sorted(map(tuple, decontaminate.too_short(bench).collect())) == [(3, 3), (4, 3)]
+
+
 def test_pipeline_equals_its_decisions_made_one_by_one(spark):
     docs = table(spark, SF_DIR, "documents")
     rows = {r["doc_id"]: r for r in docs.collect()}
