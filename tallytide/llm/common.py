@@ -49,11 +49,16 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def map_batches(
-    frame: DataFrame, columns: Callable[[pa.RecordBatch], list], schema: str, between: str = ","
+    frame: DataFrame,
+    columns: Callable[[pa.RecordBatch], list],
+    schema: str,
+    between: str = ",",
+    rows: int = ROWS,
 ) -> DataFrame:
     """``frame`` through a function from a record batch to the list of result columns.
 
-    ``between`` parts the columns of the schema, where commas stand inside types.
+    ``between`` parts the columns of the schema, where commas stand inside types. The function
+    gets ``rows`` rows at a time.
     """
     importable(frame.sparkSession)
     names = [part.split()[0] for part in schema.split(between)]
@@ -62,8 +67,8 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # What the function holds at a time does not depend on Spark's batch size.
-            for at in range(0, batch.num_rows, ROWS):
-                yield pa.RecordBatch.from_arrays(columns(batch.slice(at, ROWS)), names=names)
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_arrays(columns(batch.slice(at, rows)), names=names)
 
     return frame.mapInArrow(run, schema)
 

@@ -11,6 +11,7 @@ from tallytide.llm import (
     fingerprints,
     language,
     lines,
+    merkle,
     mixing,
     near_dup,
     secrets,
@@ -71,6 +72,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
         op8_decontamination,
         op9_fingerprints,
         op10_token_counts,
+        op11_merkle,
     )
 }
 
@@ -135,4 +141,73 @@ ORACLE_SQL = {
             coalesce(array_to_string(kept, chr(10)), '') AS text
         FROM kept
     """,
+    "op11_merkle": """
+        WITH RECURSIVE fields AS (
+            SELECT lang, doc_id,
+                coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+                    || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+                n_chars,
+                coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+                list_reduce(
+                    list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+                    lambda crc, c: list_reduce(
+                        list_prepend(xor(crc, c), range(8)),
+                        lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))
+                ) AS crc
+            FROM documents
+        ), hashed AS (
+            SELECT lang, doc_id,
+                sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                sha256(head || coalesce(length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS changed,
+                doc_id IS NOT NULL AND xor(crc, 4294967295) % 7 = 0 AS tampered
+            FROM fields
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                count(*) OVER (PARTITION BY lang) AS n
+            FROM hashed
+        ), nodes AS (
+            SELECT lang, 0 AS level, place, n, leaf AS node FROM leaves
+            UNION ALL
+            SELECT lang, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY place))
+            FROM nodes WHERE n > 1 GROUP BY lang, level, place // 2, n
+        ), subroots AS (
+            SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+            FROM nodes WHERE n = 1
+        ), tops AS (
+            SELECT 0 AS level, place, n, subroot AS node FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY place))
+            FROM tops WHERE n > 1 GROUP BY level, place // 2, n
+        ), steps AS (
+            SELECT l.lang, l.doc_id, l.leaf, a.level, (l.place >> a.level) & 1 AS is_right, b.node AS sibling
+            FROM leaves l JOIN nodes a ON l.lang IS NOT DISTINCT FROM a.lang AND a.place = l.place >> a.level AND a.n > 1
+            LEFT JOIN nodes b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND b.place = xor(a.place, 1)
+            UNION ALL
+            SELECT l.lang, l.doc_id, l.leaf, 1000 + a.level, (s.place >> a.level) & 1, b.node
+            FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+            JOIN tops a ON a.place = s.place >> a.level AND a.n > 1
+            LEFT JOIN tops b ON a.level = b.level AND b.place = xor(a.place, 1)
+        ), paths AS (
+            SELECT lang, doc_id, leaf, list({'is_right': is_right, 'sibling': sibling} ORDER BY level) AS path
+            FROM steps GROUP BY lang, doc_id, leaf
+        ), folded AS (
+            SELECT l.doc_id, l.leaf, s.subroot, coalesce(p.path, []) AS path,
+                (SELECT node FROM tops WHERE n = 1) AS root,
+                CASE WHEN l.tampered THEN l.changed ELSE l.leaf END AS start
+            FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+            LEFT JOIN paths p ON l.lang IS NOT DISTINCT FROM p.lang AND l.doc_id IS NOT DISTINCT FROM p.doc_id AND l.leaf = p.leaf
+        ), rooted AS (
+            SELECT *, list_reduce(
+                    list_prepend(start, list_transform(path, lambda s:
+                        CASE WHEN s.sibling IS NULL THEN '-' WHEN s.is_right = 1 THEN '<' || s.sibling ELSE '>' || s.sibling END)),
+                    lambda node, s: sha256(CASE left(s, 1) WHEN '-' THEN node WHEN '<' THEN s[2:] || node ELSE node || s[2:] END)
+                ) AS folded_root
+            FROM folded
+        )
+        SELECT doc_id, leaf, subroot, root,
+            sha256(coalesce(array_to_string(list_transform(path, lambda s: s.sibling), ''), '')) AS proof_sha256,
+            folded_root, folded_root = root AS verified
+        FROM rooted
+    """,
 }
