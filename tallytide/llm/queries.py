@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallytide.llm import (
+    conversations,
     decontaminate,
     fingerprints,
     language,
@@ -76,6 +77,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_rows(table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audited(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
         op9_fingerprints,
         op10_token_counts,
         op11_merkle,
+        op13_conversations,
     )
 }
 

@@ -1,0 +1,232 @@
+"""Conversation repair against a search from the last row, and against all edits of short ones."""
+
+import functools
+import hashlib
+import itertools
+import os
+import random
+import re
+import sys
+import zlib
+
+sys.path.insert(0, os.path.dirname(__file__))
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallytide.llm import conversations
+from tallytide.llm.common import table
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+NEXT = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("a", "u"): "u", ("u", "a"): "a"}
+
+
+def damage(rows):
+    """Rows by conversation after the contract's damage, sorted."""
+    found = {}
+    for conv, turn, role, text in rows:
+        kept = found.setdefault(conv, [])
+        key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        role, text = (" " if v is None else v for v in (role, text))
+        kind = zlib.crc32(key.encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        role = "user" if kind == 4 else role
+        kept += [(turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).hexdigest())
+    return {conv: sorted(kept, key=order) for conv, kept in found.items()}
+
+
+def faults(rows):
+    seen, found = set(), []
+    for _, role, text in rows:
+        end = re.sub("[ \\t-\\r]+$", "", text)
+        found.append(
+            "blank" if not end else "duplicate" if (role, text) in seen else "" if end[-1] in ".!?" else "truncated"
+        )
+        seen.add((role, text))
+    return found
+
+
+def cheapest(rows, kinds):
+    """Price and audit, from the last row back."""
+
+    @functools.lru_cache(None)
+    def rest(i, place, inserts):
+        options = []
+        if i == len(rows) and place in ("", "a"):
+            options.append((0, ""))
+        if inserts < 3:
+            for initial in "ua":
+                if (place, initial) in NEXT and (found := rest(i, initial, inserts + 1)):
+                    options.append((found[0] + 3, "I" + found[1]))
+        if i < len(rows):
+            initial, more = rows[i][1][:1], 3 if kinds[i] == "truncated" else 0
+            ways = [("D", 4, place)]
+            if kinds[i] not in ("blank", "duplicate"):
+                if not initial or (place, initial) in NEXT:
+                    ways.append(("K", more, initial or place))
+                ways += [("R", 3 + more, other) for other in "ua" if (place, other) in NEXT]
+            for letter, price, after in ways:
+                if found := rest(i + 1, after, 0):
+                    options.append((found[0] + price, letter + found[1]))
+        return min(options, default=None)
+
+    return rest(0, "", 0)
+
+
+def every(rows, kinds):
+    """Price and audit, from all edits with up to two inserts in a row."""
+    gap = ["", "u", "a", "ua", "au"]
+    row_edits = [
+        ["D"] if kind in ("blank", "duplicate") else ["D", "K", "Ru", "Ra"] for kind in kinds
+    ]
+    best = None
+    for edits in itertools.product(*row_edits):
+        for inserts in itertools.product(gap, repeat=len(rows) + 1):
+            price, audit, initials = 3 * len(inserts[0]), "I" * len(inserts[0]), inserts[0]
+            for row, kind, edit, insert in zip(rows, kinds, edits, inserts[1:]):
+                price += {"D": 4, "K": 0}.get(edit, 3) + 3 * len(insert)
+                price += 3 if edit != "D" and kind == "truncated" else 0
+                audit += edit[0] + "I" * len(insert)
+                initials += {"D": "", "K": row[1][:1]}.get(edit, edit[1:]) + insert
+            if re.fullmatch("(s?(ua)+)?", initials) and (best is None or (price, audit) < best):
+                best = (price, audit)
+    return best
+
+
+def plain(rows, search=cheapest):
+    found = []
+    for conv, kept in damage(rows).items():
+        kinds = faults(kept)
+        price, audit = search(tuple(kept), tuple(kinds))
+        if len(kept) <= 2:
+            assert (price, audit) == every(kept, kinds)
+        turns, place, left = [], "", iter(kept)
+        for letter in audit:
+            _, role, text = (None, "", "") if letter == "I" else next(left)
+            if letter != "D":
+                role = role if letter == "K" else "assistant" if place == "u" else "user"
+                turns.append(f"{role}:{text}")
+                place = role[:1] or place
+        numbers = {t for t, _, _ in kept if t is not None}
+        gaps = max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0
+        pairs = zip(kept, kept[1:])
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in pairs)
+        counts = (kinds.count("blank"), kinds.count("duplicate"), kinds.count("truncated"))
+        digest = hashlib.sha256("\n".join(turns).encode()).hexdigest()
+        found.append((conv, gaps, *counts, illegal, price, audit, digest))
+    return sorted(found, key=repr)
+
+
+def some(seed, conversations_, most):
+    rng = random.Random(seed)
+    roles = ["user", "assistant"] * 6 + ["system", "usher", "tool", "", None, " "]
+    texts = ["Yes.", "No!", "cut off", "", " \n", None, "é 😀?", "same."] + [f"text {i}." for i in range(6)]
+    rows = []
+    for conv in range(conversations_):
+        turns = rng.sample(range(-3, most + 4), rng.randrange(most))
+        if rng.random() < 0.7:
+            turns.sort()
+        rows += [(conv, t, rng.choice(roles), rng.choice(texts)) for t in turns]
+        rows += [(conv, None, "user", "no turn.")] * (rng.random() < 0.1)
+    return rows + [(None, 1, "user", "lost."), (None, None, None, None), (7, 2, "user", "twice."), (7, 2, "user", "twice.")]
+
+
+def found_in(spark, rows, parts=4):
+    frame = spark.createDataFrame(rows, SCHEMA).withColumns(
+        {"copies": F.lit("x"), "part": F.lit(1), "later": F.lit(2), "audit": F.lit(3)}
+    )
+    result = conversations.audited(frame.repartition(parts))
+    assert result.columns == [
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256",
+    ]
+    return sorted(map(tuple, result.collect()), key=repr)
+
+
+def test_repairs_equal_a_search_from_the_end(spark):
+    rows = some(1, 150, 5) + [(1000 + c, t, r, x) for c, t, r, x in some(2, 30, 30) if c is not None]
+    assert found_in(spark, rows) == plain(rows)
+
+
+def test_a_conversation_over_many_ranges_and_segments(spark):
+    rng = random.Random(3)
+    rows = [
+        (5, t, rng.choice(["user", "assistant", "assistant", "system"]), rng.choice(["a.", "b", "", f"{t}."]))
+        for t in range(10_000)
+    ]
+    rows += [(c, t, "user", f"{t}.") for c in (4, 6) for t in range(3)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found_in(spark, rows) == plain(rows, by_tables)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def by_tables(rows, kinds):
+    """As ``cheapest``, without a recursion."""
+    table_ = {place: (0, "") for place in ("", "a")}
+
+    def inserted(best):
+        for _ in range(3):
+            for place in ("", "s", "u", "a"):
+                for initial in "ua":
+                    if (place, initial) in NEXT and initial in best:
+                        price, audit = best[initial]
+                        best[place] = min(best.get(place, (10**9, "")), (price + 3, "I" + audit))
+        return best
+
+    table_ = inserted(table_)
+    for row, kind in zip(reversed(rows), reversed(kinds)):
+        initial, more, before = row[1][:1], 3 if kind == "truncated" else 0, {}
+        for place in ("", "s", "u", "a"):
+            ways = [("D", 4, place)]
+            if kind not in ("blank", "duplicate"):
+                ways += [("K", more, initial)] if (place, initial) in NEXT else []
+                ways += [("R", 3 + more, other) for other in "ua" if (place, other) in NEXT]
+            options = [(table_[a][0] + p, x + table_[a][1]) for x, p, a in ways if a in table_]
+            if options:
+                before[place] = min(options)
+        table_ = inserted(before)
+    return table_[""]
+
+
+def test_prefix_trees_compare_as_strings_do():
+    rng = random.Random(4)
+    tree = conversations.Prefixes()
+    nodes = [0]
+    for _ in range(400):
+        nodes.append(tree.extended(rng.choice(nodes[-30:]), rng.choice("DIKR")))
+    for a, b in itertools.product(nodes[::7], nodes[::5]):
+        assert tree.less(a, b) == (tree.text(a) < tree.text(b))
+    # The same with hashes that all collide.
+    tree.hash = [0] * len(tree.hash)
+    for a, b in itertools.product(nodes[::9], nodes[::6]):
+        assert tree.less(a, b) == (tree.text(a) < tree.text(b))
+
+
+def test_query_equals_the_search(spark):
+    turns = table(spark, SF_DIR, "conversations")
+    found = sorted(map(tuple, conversations.audited(turns).collect()), key=repr)
+    assert found == plain([tuple(r) for r in turns.select("conv_id", "turn", "role", "text").collect()])
+
+
+def test_empty_and_single(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert conversations.audited(empty).count() == 0
+    gone = next(c for c in range(1000) if zlib.crc32(f"{c}:1".encode()) % 20 == 0)
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert found_in(spark, [(gone, 1, "user", "x.")]) == [(gone, 0, 0, 0, 0, 0, 0, "", nothing)]
+    long = "long text. " * 200_000
+    rows = [(gone, 2, "user", long), (gone, 3, "assistant", long), (gone, 2**62, "user", "x")]
+    assert found_in(spark, rows) == plain(rows)
+
+
+@pytest.mark.parametrize("a,b", [("K", "KI"), ("DI", "ID"), ("", "")])
+def test_ties_of_nodes(a, b):
+    tree = conversations.Prefixes()
+    nodes = [0, 0]
+    for i, word in enumerate((a, b)):
+        for letter in word:
+            nodes[i] = tree.extended(nodes[i], letter)
+    assert tree.less(*nodes) == (a < b) and tree.less(*reversed(nodes)) == (b < a)
