@@ -15,6 +15,7 @@ from tallytide.llm import (
     merkle,
     mixing,
     near_dup,
+    repeats,
     secrets,
     token_counts,
     token_files,
@@ -77,6 +78,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_rows(table(spark, sf_dir, "documents"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audited(table(spark, sf_dir, "conversations"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
         op9_fingerprints,
         op10_token_counts,
         op11_merkle,
+        op12_repeats,
         op13_conversations,
     )
 }
