@@ -33,7 +33,12 @@ from tallytide.functions import (  # noqa: E402
 )
 from tallytide.plans import FUEL_KEYS, MAKE_KEYS, MODEL_KEYS  # noqa: E402
 from tallytide.shared import shared_folder, written  # noqa: E402
-from tallytide.sources import read_curated, read_extracts, write_csv  # noqa: E402
+from tallytide.sources import (  # noqa: E402
+    read_curated,
+    read_extracts,
+    split_extracts,
+    write_csv,
+)
 
 PRIORITY_GROUPS = {"1-URGENT": "Urgent", "2-HIGH": "Expedited", "3-MEDIUM": "Expedited"}
 PART_KEYS = ("part", "maker", "model")
@@ -267,6 +272,70 @@ def curated_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def curated_month_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curated table after a second build that brings one month alone, with fewer rows.
+
+    Late rows of a month that was not there before come with it.
+    """
+    rows = written(extract(spark, sf_dir).drop("part", "status"))
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    again = (F.col("date_reg") >= "2001-07-01") & (F.col("date_reg") < "2001-08-01")
+    day = F.to_date("date_reg")
+    write_csv(rows.withColumn("date_reg", day), f"{folder}/all")
+    late = rows.where(again & (F.col("fuel") != "1-URGENT"))
+    moved = late.where("fuel = '5-LOW'").withColumn("date_reg", F.add_months(day, 12))
+    write_csv(late.withColumn("date_reg", day).unionByName(moved), f"{folder}/late")
+    plans.build_curated(spark, [f"{folder}/all"], f"{folder}/table", PRIORITY_GROUPS)
+    table = plans.build_curated(
+        spark, [f"{folder}/late"], f"{folder}/table", PRIORITY_GROUPS, replace="months"
+    )
+    return table.groupBy("date_reg", "fuel", "fuel_grouped").agg(F.count("*").alias("n"))
+
+
+def extract_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracts of which some rows do not fit: accepted and rejected ones, by make and reason."""
+    rows = extract(spark, sf_dir)
+    day = F.date_format("date_reg", "yyyy-MM-dd")
+    kind = F.col("part") % 7
+    line = (
+        F.when(kind == 0, F.concat_ws(",", day, "maker", "model", "fuel", "status", "status"))
+        .when(kind == 1, F.concat_ws(",", F.date_format("date_reg", "dd/MM/yyyy"), "maker", "model", "fuel"))
+        .when(kind == 2, F.concat_ws(",", day, "maker"))
+        .when(kind == 3, F.concat_ws(",", F.lit("NA"), "maker", "model", "fuel"))
+        .otherwise(F.concat_ws(",", day, "maker", "model", "fuel"))
+    )
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows.where("date_reg IS NOT NULL").select(line).write.text(path)
+    # The files have no header line, so their columns are given and the first row is not one.
+    good, bad = split_extracts(
+        spark, [path], header=("date_reg", "maker", "model", "fuel"), header_lines=False
+    )
+    maker = F.element_at(F.split("text", ","), 2)
+    return op.union_by_name(
+        [
+            good.groupBy("maker").agg(
+                F.lit("accepted").alias("reason"),
+                F.count("*").alias("n"),
+                F.count("date_reg").alias("dated"),
+                F.countDistinct("model", "fuel").alias("kinds"),
+            ),
+            bad.groupBy(maker.alias("maker"), "reason").agg(F.count("*").alias("n")),
+        ]
+    )
+
+
+def union_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of two halves, one with text for keys and status, as text wherever they differ."""
+    orders = table(spark, sf_dir, "orders")
+    odd = F.col("o_orderkey") % 2 == 1
+    texts = orders.where(odd).withColumn("o_orderkey", F.concat(F.lit("00"), "o_orderkey"))
+    numbers = orders.where(~odd).withColumn("o_orderstatus", F.length("o_orderstatus"))
+    rows = op.union_by_name([texts, numbers], on_conflict="text")
+    return rows.groupBy("o_orderstatus").agg(
+        F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")
+    )
+
+
 def curated_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curated table through its CSV form, summarised by make."""
     target = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
@@ -387,6 +456,9 @@ def queries() -> dict[str, Query]:
         "trend_top_makes_two_years": _on_two_years(plans.top_make_trend),
         "preview": _on_registrations(preview),
         "curated_build": curated_build,
+        "curated_month_refresh": curated_month_refresh,
+        "extract_rejects": extract_rejects,
+        "union_types": union_types,
         "curated_csv": curated_csv,
         "curated_csv_line_breaks": curated_csv_line_breaks,
         "display_by_make": _display(MAKE_KEYS),

@@ -316,6 +316,33 @@ FROM orders GROUP BY ALL""",
             " AS status,"
             " count(*) AS n FROM facts GROUP BY ALL"
         ),
+        "curated_month_refresh": _simple(
+            """
+, again AS (SELECT * FROM facts WHERE date_reg = DATE '2001-07-01' AND fuel <> '1-URGENT'),
+table_ AS (
+  SELECT date_reg, fuel, fuel_grouped FROM facts
+  WHERE date_reg IS NULL OR date_reg <> DATE '2001-07-01'
+  UNION ALL SELECT date_reg, fuel, fuel_grouped FROM again
+  UNION ALL SELECT DATE '2002-07-01', fuel, fuel_grouped FROM again WHERE fuel = '5-LOW'
+)
+SELECT date_reg, fuel, fuel_grouped, count(*) AS n FROM table_ GROUP BY ALL"""
+        ),
+        "extract_rejects": _simple(
+            """
+, rows_ AS (SELECT *, part % 7 AS kind FROM facts WHERE date_reg IS NOT NULL)
+SELECT maker, 'accepted' AS reason, count(*) AS n, count(*) FILTER (WHERE kind <> 3) AS dated,
+       count(DISTINCT (model, fuel)) AS kinds
+FROM rows_ WHERE kind >= 3 GROUP BY ALL
+UNION ALL
+SELECT maker, CASE WHEN kind = 1 THEN 'date_reg' ELSE 'fields' END, count(*), NULL, NULL
+FROM rows_ WHERE kind < 3 GROUP BY ALL"""
+        ),
+        "union_types": """
+SELECT CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus
+            ELSE CAST(length(o_orderstatus) AS VARCHAR) END AS o_orderstatus,
+       count(*) AS n, min(key) AS first, max(key) AS last
+FROM (SELECT *, CASE WHEN o_orderkey % 2 = 1 THEN '00' ELSE '' END || o_orderkey AS key FROM orders)
+GROUP BY 1""",
         "curated_csv": _summary("maker"),
         "curated_csv_line_breaks": _simple(
             "SELECT maker, '\"' || model || '\"' || chr(10) || maker AS model, count(*) AS n,"

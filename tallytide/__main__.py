@@ -1,7 +1,8 @@
 """Batch jobs: ``curate`` builds the curated table and shows first rows and counts, ``report``
 writes every report and prints the anchor month.
 
-    python -m tallytide curate TABLE EXTRACT [EXTRACT ...] [--multiline]
+    python -m tallytide curate TABLE EXTRACT [EXTRACT ...] [--multiline] [--months]
+                               [--header NAME,NAME ...] [--rejects FOLDER]
     python -m tallytide report TABLE FOLDER [--as-of DATE] [--top N] [--dedup]
 
 On a cluster, hand this file to ``spark-submit`` with the package in ``--py-files``.
@@ -14,7 +15,7 @@ from pyspark.sql import SparkSession
 
 from tallytide.operators import as_of_date, preview
 from tallytide.plans import build_curated, dashboard, display
-from tallytide.sources import read_curated
+from tallytide.sources import REJECT_SCHEMA, read_curated
 
 
 def report(
@@ -44,6 +45,11 @@ def main(arguments: Sequence[str] | None = None) -> None:
     curate_job.add_argument(
         "--multiline", action="store_true", help="quoted values may hold line breaks"
     )
+    curate_job.add_argument(
+        "--months", action="store_true", help="replace only the months of these extracts"
+    )
+    curate_job.add_argument("--header", help="columns of all extracts, with commas between")
+    curate_job.add_argument("--rejects", help="folder for rows that cannot be read")
     report_job = jobs.add_parser("report", help="curated table to all reports")
     report_job.add_argument("table")
     report_job.add_argument("folder")
@@ -55,11 +61,21 @@ def main(arguments: Sequence[str] | None = None) -> None:
     spark = SparkSession.builder.appName("tallytide").getOrCreate()
     if options.job == "curate":
         table = build_curated(
-            spark, options.extracts, options.table, multiline=options.multiline
+            spark,
+            options.extracts,
+            options.table,
+            multiline=options.multiline,
+            header=options.header and options.header.split(","),
+            replace="months" if options.months else "table",
+            rejects=options.rejects,
         )
         preview(table).show()
         found = as_of_date(table).first()
         print(f"{found['n_rows']} rows, {found['n_null_dates']} without a readable date")
+        if options.rejects:
+            reasons = spark.read.schema(REJECT_SCHEMA).parquet(options.rejects)
+            for row in reasons.groupBy("reason").count().orderBy("reason").collect():
+                print(f"{row['count']} rejected rows: {row['reason']}")
     else:
         report(
             spark, options.table, options.folder, options.as_of, options.top, options.dedup

@@ -8,7 +8,7 @@ from tallytide.functions.categories import FUEL_GROUPS, regroup
 from tallytide.functions.dates import month_start
 from tallytide.operators.combine import distinct_keys, sorted_by_keys
 from tallytide.sources.curated import read_curated, write_curated
-from tallytide.sources.extracts import read_extracts
+from tallytide.sources.extracts import read_extracts, split_extracts
 
 
 def curate(extracts: DataFrame, groups: Mapping[str, str] = FUEL_GROUPS) -> DataFrame:
@@ -27,10 +27,24 @@ def build_curated(
     target: str,
     groups: Mapping[str, str] = FUEL_GROUPS,
     multiline: bool = False,
+    header: Sequence[str] | None = None,
+    replace: str = "table",
+    rejects: str | None = None,
 ) -> DataFrame:
-    """Read landed extracts, curate them, write the table to ``target`` and return it."""
-    curated = curate(read_extracts(spark, paths, multiline=multiline), groups)
-    write_curated(curated, target)
+    """Read landed extracts, curate them, write the table to ``target`` and return it.
+
+    ``replace="months"`` writes only the months of these extracts, in place of those stored.
+    ``rejects`` is a folder for the rows that do not fit their header or its types, with their file,
+    text and reason; they are then left out of the table. Without it all rows are kept, and
+    what cannot be read in them is null.
+    """
+    if rejects is None:
+        rows = read_extracts(spark, paths, multiline=multiline, header=header)
+    else:
+        rows, rejected = split_extracts(spark, paths, multiline=multiline, header=header)
+        rejected.write.mode("overwrite").parquet(rejects)
+    curated = curate(rows, groups)
+    write_curated(curated, target, replace=replace)
     return read_curated(spark, target, schema=curated.schema)
 
 

@@ -23,6 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def files_of(spark: SparkSession, path: str):
+    """Spark's file system of ``path``, and ``path`` as it names it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def new_folder(spark: SparkSession) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
@@ -46,7 +52,6 @@ def drop_intermediate(spark: SparkSession) -> None:
     """
     folder = spark.sparkContext.getCheckpointDir()
     if folder is not None:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files, path = files_of(spark, folder)
         for entry in files.listStatus(path):
             files.delete(entry.getPath(), True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tallytide.sources.extracts import EXTRACT_SCHEMA, read_extracts
+from tallytide.sources.months import replace_months
 
 CURATED_SCHEMA = StructType([*EXTRACT_SCHEMA, StructField("fuel_grouped", StringType())])
 
@@ -15,20 +16,22 @@ def write_curated(
     path: str,
     date: str = "date_reg",
     sort_by: Sequence[str] = ("maker", "model"),
+    replace: str = "table",
 ) -> None:
     """Write Parquet partitioned by ``date``, replacing what is there.
 
+    ``replace="months"`` replaces the months that ``table`` has and leaves the files of others as
+    they are. The old table can be read until the new rows are complete, and stays if the job
+    is broken off (``tallytide.sources.months``).
+
     Rows are rebalanced by ``date``: small months share a task, and a month holding much
     of the table is split over many. Sorting inside the files makes repeated keys compress
     well.
     """
-    (
-        table.hint("rebalance", F.col(date))
-        .sortWithinPartitions(date, *sort_by)
-        .write.mode("overwrite")
-        .partitionBy(date)
-        .parquet(path)
-    )
+    if replace not in ("table", "months"):
+        raise ValueError(f"replace is {replace!r}, not 'table' or 'months'")
+    rows = table.hint("rebalance", F.col(date)).sortWithinPartitions(date, *sort_by)
+    replace_months(rows, path, date, others=replace == "table")
 
 
 def write_csv(table: DataFrame, path: str) -> None:
