@@ -361,6 +361,11 @@ def display_page(facts: DataFrame) -> DataFrame:
     return op.page(shown, 1, rank="Rank")
 
 
+def display_page_by_offset(facts: DataFrame) -> DataFrame:
+    """The same page, of which only the rows up to its end are ordered."""
+    return plans.display_page(facts, PART_KEYS, 1, as_of=FULL_MONTH)
+
+
 def display_filtered(facts: DataFrame) -> DataFrame:
     shown = plans.display_report(facts, MODEL_KEYS, FULL_MONTH)
     return op.filter_columns(
@@ -465,6 +470,7 @@ def queries() -> dict[str, Query]:
         "display_by_model": _display(MODEL_KEYS),
         "display_by_fuel": _display(FUEL_KEYS),
         "display_page": _on_registrations(display_page),
+        "display_page_by_offset": _on_registrations(display_page_by_offset),
         "display_filtered": _on_registrations(display_filtered),
         "dashboard_summaries": _on_registrations(dashboard_summaries),
         "dashboard_trends": _on_registrations(dashboard_trends),

@@ -357,6 +357,12 @@ GROUP BY 1""",
             FULL_MONTH_LABELS,
             "rank BETWEEN 101 AND 200",
         ),
+        "display_page_by_offset": _display(
+            {"part": "part", "maker": "Make", "model": "Model"},
+            "2001-07-01",
+            FULL_MONTH_LABELS,
+            "rank BETWEEN 101 AND 200",
+        ),
         "display_filtered": _display(
             MODEL,
             "2001-07-01",

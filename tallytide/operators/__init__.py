@@ -18,7 +18,7 @@ from tallytide.operators.counts import (
     with_growth,
 )
 from tallytide.operators.membership import attach_members, keep_members
-from tallytide.operators.ranking import report_order, top_n, with_rank
+from tallytide.operators.ranking import ranked_page, report_order, top_n, with_rank
 from tallytide.operators.tables import filter_columns, page, preview
 
 __all__ = [
@@ -36,6 +36,7 @@ __all__ = [
     "period_count",
     "period_counts",
     "preview",
+    "ranked_page",
     "report_order",
     "reporting_calendar",
     "resolve_calendar",

@@ -2,13 +2,14 @@
 
 from tallytide.plans.curate import build_curated, curate, make_model_list
 from tallytide.plans.dashboard import Dashboard, dashboard
-from tallytide.plans.display import display, display_labels, display_report
+from tallytide.plans.display import display, display_labels, display_page, display_report
 from tallytide.plans.summary import (
     FUEL_KEYS,
     MAKE_KEYS,
     MEASURES,
     MODEL_KEYS,
     summary,
+    summary_page,
 )
 from tallytide.plans.trends import top_make_trend, top_model_trend, trend
 
@@ -23,9 +24,11 @@ __all__ = [
     "dashboard",
     "display",
     "display_labels",
+    "display_page",
     "display_report",
     "make_model_list",
     "summary",
+    "summary_page",
     "top_make_trend",
     "top_model_trend",
     "trend",

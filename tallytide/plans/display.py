@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallytide.functions.growth import growth_band, percent_text
 from tallytide.operators.calendar import PERIODS, Calendar, resolve_calendar
-from tallytide.plans.summary import summary
+from tallytide.plans.summary import summary, summary_page
 
 # Headings of the columns that do not depend on the date.
 HEADINGS = {
@@ -55,3 +55,17 @@ def display_report(
     """The summary of ``facts`` as a display table."""
     calendar = resolve_calendar(facts, as_of, date)
     return display(summary(facts, keys, calendar, date, weight), calendar)
+
+
+def display_page(
+    facts: DataFrame,
+    keys: Sequence[str],
+    number: int = 0,
+    size: int = 100,
+    as_of: Calendar | dt.date | str | None = None,
+    date: str = "date_reg",
+    weight: str | None = None,
+) -> DataFrame:
+    """One page of the display table; pages count from 0, and only its rows are ranked."""
+    calendar = resolve_calendar(facts, as_of, date)
+    return display(summary_page(facts, keys, number, size, calendar, date, weight), calendar)

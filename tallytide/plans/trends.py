@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallytide.functions.text import joined_label
 from tallytide.operators.calendar import Calendar, resolve_calendar
 from tallytide.operators.counts import monthly_counts, period_counts
-from tallytide.operators.membership import attach_members, keep_members
+from tallytide.operators.membership import attach_members
 from tallytide.operators.ranking import top_n
 from tallytide.plans.summary import MAKE_KEYS, MODEL_KEYS
 
@@ -43,9 +43,14 @@ def top_make_trend(
     date: str = "date_reg",
     weight: str | None = None,
 ) -> DataFrame:
-    """Registrations per month of the ``n`` makes leading the current month."""
+    """Registrations per month of the ``n`` makes leading the current month.
+
+    Months and makes are counted before they meet the leaders: a join that has to shuffle gets a
+    row per month of a hot make, and not its rows.
+    """
+    # Each leader is there once. Spark would move a semi join below the counts again.
     leaders = _leaders(facts, MAKE_KEYS, n, as_of, date, weight)
-    return monthly_counts(keep_members(facts, leaders, MAKE_KEYS), MAKE_KEYS, date, weight)
+    return attach_members(monthly_counts(facts, MAKE_KEYS, date, weight), leaders, MAKE_KEYS)
 
 
 def top_model_trend(
@@ -61,7 +66,7 @@ def top_model_trend(
     The leaders are the first ``n`` rows by make, model and fuel group, and the series is
     by make and model. A model leading with two fuel groups is on the list twice, and its
     counts double; ``dedup`` counts it once. Repeats are kept as a factor per model, so
-    rows are never multiplied.
+    rows are never multiplied. As for makes, months are counted before they meet the leaders.
     """
     keys = ("maker", "model")
     repeats = F.lit(1) if dedup else F.count("*")
@@ -70,7 +75,7 @@ def top_model_trend(
         .groupBy(*keys)
         .agg(repeats.cast("bigint").alias("_repeats"))
     )
-    rows = attach_members(facts, leaders, keys)
-    units = F.col("_repeats") if weight is None else F.col("_repeats") * F.col(weight)
-    series = monthly_counts(rows.withColumn("_units", units), keys, date, "_units")
-    return series.withColumn("make_model", joined_label(F.col("maker"), F.col("model")))
+    series = attach_members(monthly_counts(facts, keys, date, weight), leaders, keys)
+    times = (F.col("registration") * F.col("_repeats")).alias("registration")
+    label = joined_label(F.col("maker"), F.col("model")).alias("make_model")
+    return series.select("month", *keys, times, label)

@@ -19,29 +19,34 @@ NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 _READY = "_ready"
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
-    """Names of what lies in a folder; none if it does not exist."""
-    files, folder = files_of(spark, path)
-    if not files.exists(folder):
-        return []
-    return sorted(entry.getPath().getName() for entry in files.listStatus(folder))
+class _Files:
+    """What is done with files and folders below one path, in Spark's file system."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        self._files, _ = files_of(spark, path)
+        self.path = path
+        self._class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
-def _visible(names: list[str]) -> list[str]:
-    return [name for name in names if not name.startswith(("_", "."))]
+    def names(self, folder: str = "") -> list[str]:
+        """Names of what lies in a folder; none if it does not exist."""
+        place = self._class(f"{self.path}/{folder}".rstrip("/"))
+        if not self._files.exists(place):
+            return []
+        return sorted(entry.getPath().getName() for entry in self._files.listStatus(place))
 
+    def move(self, source: str, target: str) -> None:
+        new = self._class(f"{self.path}/{target}")
+        if "/" in target:
+            self._files.mkdirs(new.getParent())
+        if not self._files.rename(self._class(f"{self.path}/{source}"), new):
+            raise OSError(f"{source} cannot be renamed to {target} in {self.path}")
 
-def _move(spark: SparkSession, source: str, target: str) -> None:
-    files, old = files_of(spark, source)
-    new = files_of(spark, target)[1]
-    files.mkdirs(new.getParent())
-    if not files.rename(old, new):
-        raise OSError(f"{source} cannot be renamed to {target}")
+    def delete(self, name: str) -> None:
+        self._files.delete(self._class(f"{self.path}/{name}"), True)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    files, folder = files_of(spark, path)
-    files.delete(folder, True)
+def _visible(names: list[str]) -> list[str]:
+    return [name for name in names if not name.startswith(("_", "."))]
 
 
 def stored_months(
@@ -51,7 +56,7 @@ def stored_months(
 
     Rows without a date are the month None, which comes last. No file is opened.
     """
-    names = [name.partition("=") for name in _children(spark, path)]
+    names = [name.partition("=") for name in _Files(spark, path).names()]
     values = [value for column, _, value in names if column == date]
     known = sorted(dt.date.fromisoformat(value) for value in values if value != NO_VALUE)
     return known + [None] * (NO_VALUE in values)
@@ -62,28 +67,31 @@ def finish_replacing(spark: SparkSession, path: str) -> None:
 
     Doing it again changes nothing, and neither does another break and another call.
     """
-    for name in _children(spark, path):
+    files = _Files(spark, path)
+    names = files.names()
+    for name in names:
         if name.startswith("_incoming-"):
-            _delete(spark, f"{path}/{name}")
+            files.delete(name)
+    for name in names:
         if not name.startswith(f"{_READY}-"):
             continue
         _, kind, number = name.split("-")
-        ready, replaced = f"{path}/{name}", f"{path}/_replaced-{number}"
+        replaced = f"_replaced-{number}"
+        coming, stored = _visible(files.names(name)), _visible(files.names())
         if kind == "table":
             # Months that do not come again go first; then it is like a replacement of months.
-            coming = set(_children(spark, ready))
-            for old in _visible(_children(spark, path)):
+            for old in stored:
                 if old not in coming:
-                    _move(spark, f"{path}/{old}", f"{replaced}/{old}")
-            _move(spark, ready, ready := f"{path}/{_READY}-months-{number}")
-        for new in _visible(_children(spark, ready)):
-            if new in _children(spark, path):
-                _move(spark, f"{path}/{new}", f"{replaced}/{new}")
-            _move(spark, f"{ready}/{new}", f"{path}/{new}")
-        _delete(spark, ready)
-    for name in _children(spark, path):
+                    files.move(old, f"{replaced}/{old}")
+            files.move(name, name := f"{_READY}-months-{number}")
+        for new in coming:
+            if new in stored:
+                files.move(new, f"{replaced}/{new}")
+            files.move(f"{name}/{new}", new)
+        files.delete(name)
+    for name in files.names():
         if name.startswith("_replaced-"):
-            _delete(spark, f"{path}/{name}")
+            files.delete(name)
 
 
 def replace_months(table: DataFrame, path: str, date: str, others: bool = True) -> None:
@@ -94,11 +102,11 @@ def replace_months(table: DataFrame, path: str, date: str, others: bool = True)
     spark = table.sparkSession
     finish_replacing(spark, path)
     number = uuid.uuid4().hex
-    incoming = f"{path}/_incoming-{number}"
+    files, incoming = _Files(spark, path), f"_incoming-{number}"
     try:
-        table.write.partitionBy(date).parquet(incoming)
+        table.write.partitionBy(date).parquet(f"{path}/{incoming}")
     except Exception:
-        _delete(spark, incoming)
+        files.delete(incoming)
         raise
-    _move(spark, incoming, f"{path}/{_READY}-{'table' if others else 'months'}-{number}")
+    files.move(incoming, f"{_READY}-{'table' if others else 'months'}-{number}")
     finish_replacing(spark, path)

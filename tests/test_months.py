@@ -77,19 +77,19 @@ def test_a_break_between_any_two_moves_is_finished_later(spark, facts, tmp_path,
     new = facts(("2024-02", "X"), ("2024-03", "Y"))
     kept = [("2024-01", "A")] if replace == "months" else []
     expected = rows(*kept, ("2024-02", "X"), ("2024-03", "Y"))
-    move, breaks = months._move, 0
+    move, breaks = months._Files.move, 0
     for allowed in range(20):
         path = str(tmp_path / f"table{allowed}")
         write_curated(old, path)
         left = [allowed]
 
-        def some(spark, source, target):
+        def some(files, source, target):
             if not left[0]:
                 raise Broken
             left[0] -= 1
-            move(spark, source, target)
+            move(files, source, target)
 
-        monkeypatch.setattr(months, "_move", some)
+        monkeypatch.setattr(months._Files, "move", some)
         try:
             write_curated(new, path, replace=replace)
         except Broken:
@@ -97,7 +97,7 @@ def test_a_break_between_any_two_moves_is_finished_later(spark, facts, tmp_path,
         else:
             break
         finally:
-            monkeypatch.setattr(months, "_move", move)
+            monkeypatch.setattr(months._Files, "move", move)
         if not allowed:
             # The new rows never had their final name: nothing has happened.
             assert stored(spark, path) == rows(("2024-01", "A"), ("2024-02", "B"))

@@ -9,12 +9,20 @@ import pytest
 from conftest import plan_of, rows_of
 
 from tallytide.__main__ import main
-from tallytide.operators import Calendar, as_of_date, keep_members, monthly_counts, period_counts
+from tallytide.operators import (
+    Calendar,
+    as_of_date,
+    keep_members,
+    monthly_counts,
+    period_counts,
+    with_rank,
+)
 from tallytide.plans import (
     MAKE_KEYS,
     MODEL_KEYS,
     dashboard,
     summary,
+    summary_page,
     top_make_trend,
     top_model_trend,
 )
@@ -23,6 +31,11 @@ from tallytide.sources import read_curated, write_curated
 SF_DIR = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module")
+def calendar(spark):
+    return Calendar.at(spark, "2001-07-01")
+
+
 @pytest.fixture(scope="module")
 def curated(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("plans") / "curated")
@@ -105,13 +118,43 @@ def test_summaries_of_a_dashboard_run_no_leader_jobs(spark, curated):
     assert "make_trend" not in vars(pages) and "model_trend" not in vars(pages)
 
 
-def test_range_rank_holds_no_single_task_sort_of_the_keys(curated):
-    plan = plan_of(summary(curated, MODEL_KEYS, "2001-07-01"))
-    scans = re.findall(r"ReadSchema: struct<(.*)>", plan)
-    # The only window runs over sizes per partition, from a scan of the place alone.
-    assert "_place:bigint" in scans
-    window = plan[plan.index(" Window\n") :]
-    assert "maker" not in window.split("\n\n")[0]
+def test_a_rank_is_lazy_and_holds_no_single_task_sort_of_the_keys(spark, curated, calendar):
+    with job_count(spark) as counted:
+        plan = plan_of(with_rank(period_counts(curated, MODEL_KEYS, calendar), MODEL_KEYS))
+    assert counted == [0]
+    assert "_intermediate" not in plan and "maker" not in single_task_windows(plan)
+    windows = re.findall(r"\(\d+\) Window\n(?:.*\n)*?Arguments: (.*)\n", plan)
+    assert len(windows) == 2 and any(", [_range" in w for w in windows)
+
+
+def single_task_windows(plan: str) -> str:
+    """What the windows that no column divides compute."""
+    found = re.findall(r"Arguments: (\[.*\]), \[_range#\d+ ASC", plan)
+    return " ".join(found)
+
+
+def test_a_page_is_a_top_n_with_an_offset(spark, curated):
+    with job_count(spark) as counted:
+        page = summary_page(curated, MODEL_KEYS, 2, 10, "2001-07-01")
+    plan = plan_of(page)
+    assert re.search(r"TakeOrderedAndProject\n(?:.*\n)*?Arguments: (30|10), .*20", plan) or (
+        "Arguments: 30" in plan and "20" in plan
+    )
+    assert len(re.findall(r"^\(\d+\) Scan", plan, re.M)) == 1 and counted[0] <= 1
+    whole = summary(curated, MODEL_KEYS, "2001-07-01").where("rank BETWEEN 21 AND 30")
+    assert rows_of(page, "*") == sorted(rows_of(whole, "*"))
+    assert summary_page(curated, MODEL_KEYS, 10**6, 10, "2001-07-01").count() == 0
+
+
+@pytest.mark.parametrize("report", [top_make_trend, top_model_trend])
+def test_months_are_counted_below_the_join_with_the_leaders(curated, report):
+    tree = plan_of(report(curated, 5000, as_of="2001-07-01")).split("\n\n")[0]
+    lines = tree.splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    # Both sides of the join are aggregates of the facts, and nothing is aggregated above it.
+    assert not any("Aggregate" in line for line in lines[:join])
+    assert sum("Scan parquet" in line for line in lines) == 2
+    assert sum("HashAggregate" in line for line in lines[join:]) >= 4
 
 
 def test_no_python_in_any_plan(spark):

@@ -5,6 +5,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from tallytide.operators import COUNTS, PERIODS, page, top_n, with_rank
+from tallytide.operators.ranking import in_ranges
 from tallytide.plans import MAKE_KEYS, MEASURES, MODEL_KEYS, summary
 
 FIRST_SEEN = {period: n for n, period in enumerate(PERIODS)}
@@ -45,26 +46,16 @@ def test_rank_follows_the_join_order(spark):
 
 
 def test_range_rank_splits_a_run_of_equal_counts(spark):
-    """All keys tie, and still no sorted partition holds more than a share of them."""
+    """All keys tie, and still no range holds more than a small share of them."""
     tied = spark.range(40_000).select(
         F.concat(F.lit("m"), F.lpad("id", 6, "0")).alias("maker"),
         *(F.lit(int(name == "count_ytd_previous")).cast("bigint").alias(name) for name in COUNTS),
     )
-    off = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    before = {name: spark.conf.get(name) for name in off}
-    for name, value in off.items():
-        spark.conf.set(name, value)
-    try:
-        ranked = with_rank(tied, ("maker",))
-        placed = spark.read.parquet(*ranked.inputFiles())
-        per_file = placed.groupBy(F.input_file_name()).agg(F.count("*").alias("n"))
-        sizes = [n for (n,) in rows_of(per_file, "n")]
-        wrong = ranked.where(F.col("rank") != F.substring("maker", 2, 6).cast("bigint") + 1)
-        assert wrong.count() == 0
-        assert len(sizes) == 8 and max(sizes) < 10_000
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+    sizes = [n for (n,) in rows_of(in_ranges(tied, ("maker",)).groupBy("_range").count(), "count")]
+    assert len(sizes) == 65 and max(sizes) < 2_000
+    ranked = with_rank(tied, ("maker",))
+    wrong = ranked.where(F.col("rank") != F.substring("maker", 2, 6).cast("bigint") + 1)
+    assert wrong.count() == 0 and ranked.count() == 40_000
 
 
 def test_top_n_is_the_start_of_the_rank(spark):
