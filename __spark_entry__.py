@@ -38,6 +38,7 @@ from tallytide.sources import (  # noqa: E402
     read_extracts,
     split_extracts,
     write_csv,
+    write_curated,
 )
 
 PRIORITY_GROUPS = {"1-URGENT": "Urgent", "2-HIGH": "Expedited", "3-MEDIUM": "Expedited"}
@@ -272,10 +273,11 @@ def curated_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def curated_month_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The curated table after a second build that brings one month alone, with fewer rows.
+def _refreshed(spark: SparkSession, sf_dir: str, between: Callable[[str], object]) -> str:
+    """A curated table after a second build that brings one month alone, with fewer rows.
 
-    Late rows of a month that was not there before come with it.
+    Late rows of a month that was not there before come with it. ``between`` is called after the
+    first build.
     """
     rows = written(extract(spark, sf_dir).drop("part", "status"))
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
@@ -285,13 +287,36 @@ def curated_month_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = rows.where(again & (F.col("fuel") != "1-URGENT"))
     moved = late.where("fuel = '5-LOW'").withColumn("date_reg", F.add_months(day, 12))
     write_csv(late.withColumn("date_reg", day).unionByName(moved), f"{folder}/late")
-    plans.build_curated(spark, [f"{folder}/all"], f"{folder}/table", PRIORITY_GROUPS)
-    table = plans.build_curated(
-        spark, [f"{folder}/late"], f"{folder}/table", PRIORITY_GROUPS, replace="months"
-    )
+    path = f"{folder}/table"
+    plans.build_curated(spark, [f"{folder}/all"], path, PRIORITY_GROUPS)
+    between(path)
+    plans.build_curated(spark, [f"{folder}/late"], path, PRIORITY_GROUPS, replace="months")
+    return path
+
+
+def curated_month_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curated table after a month came again."""
+    table = read_curated(spark, _refreshed(spark, sf_dir, lambda path: None))
     return table.groupBy("date_reg", "fuel", "fuel_grouped").agg(F.count("*").alias("n"))
 
 
+def kept_counts_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary by model from counts kept since before a month came again."""
+    counts = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = _refreshed(spark, sf_dir, lambda path: plans.update_counts(spark, path, counts))
+    plans.update_counts(spark, path, counts)
+    return plans.kept_dashboard(spark, counts).models
+
+
+def stored_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar of a curated table, from the names of its folders."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = extract(spark, sf_dir).select("date_reg", "maker", "model", "fuel")
+    write_curated(plans.curate(rows, PRIORITY_GROUPS), path)
+    months = spark.createDataFrame([(op.Calendar.stored(spark, path).month_current,)], "day date")
+    return op.reporting_calendar(months, "day")
+
+
 def extract_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracts of which some rows do not fit: accepted and rejected ones, by make and reason."""
     rows = extract(spark, sf_dir)
@@ -462,6 +487,8 @@ def queries() -> dict[str, Query]:
         "preview": _on_registrations(preview),
         "curated_build": curated_build,
         "curated_month_refresh": curated_month_refresh,
+        "kept_counts_refresh": kept_counts_refresh,
+        "stored_calendar": stored_calendar,
         "extract_rejects": extract_rejects,
         "union_types": union_types,
         "curated_csv": curated_csv,

@@ -26,6 +26,16 @@ facts AS (
 TWO_YEARS = f"""{FACTS.replace("facts AS", "all_facts AS")},
 facts AS (SELECT * FROM all_facts WHERE year(date_reg) IN (2000, 2001))"""
 
+REFRESHED = f"""{FACTS.replace("facts AS", "first AS")},
+again AS (SELECT * FROM first WHERE date_reg = DATE '2001-07-01' AND fuel <> '1-URGENT'),
+facts AS (
+  SELECT date_reg, maker, model, fuel, fuel_grouped FROM first
+  WHERE date_reg IS NULL OR date_reg <> DATE '2001-07-01'
+  UNION ALL SELECT date_reg, maker, model, fuel, fuel_grouped FROM again
+  UNION ALL SELECT DATE '2002-07-01', maker, model, fuel, fuel_grouped FROM again
+  WHERE fuel = '5-LOW'
+)"""
+
 SHIPMENTS = """
 facts AS (
   SELECT l_suppkey, l_returnflag,
@@ -194,16 +204,8 @@ def _simple(select: str) -> str:
     return f"WITH {FACTS} {select}"
 
 
-def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for every registered query."""
-    model_keys = "maker, model, fuel_grouped"
-    return {
-        "as_of_date": _simple(
-            "SELECT max(date_reg) AS as_of, count(*) AS n_rows,"
-            " count(*) FILTER (WHERE date_reg IS NULL) AS n_null_dates FROM facts"
-        ),
-        "reporting_calendar": _simple(
-            f"""
+REPORTING_CALENDAR = _simple(
+    f"""
 SELECT l AS month_current,
        CAST(l - INTERVAL 1 MONTH AS DATE) AS month_previous,
        CAST(l - INTERVAL 12 MONTH AS DATE) AS month_previous_year,
@@ -218,7 +220,18 @@ SELECT l AS month_current,
        'YTD ' || strftime(l, '%Y') AS label_ytd_current,
        'YTD ' || strftime(l - INTERVAL 1 YEAR, '%Y') AS label_ytd_previous
 FROM (SELECT {LATEST} AS l)"""
+)
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL for every registered query."""
+    model_keys = "maker, model, fuel_grouped"
+    return {
+        "as_of_date": _simple(
+            "SELECT max(date_reg) AS as_of, count(*) AS n_rows,"
+            " count(*) FILTER (WHERE date_reg IS NULL) AS n_null_dates FROM facts"
         ),
+        "reporting_calendar": REPORTING_CALENDAR,
         "date_functions": """
 SELECT CAST(o_orderdate AS DATE) AS day,
        CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start,
@@ -316,17 +329,10 @@ FROM orders GROUP BY ALL""",
             " AS status,"
             " count(*) AS n FROM facts GROUP BY ALL"
         ),
-        "curated_month_refresh": _simple(
-            """
-, again AS (SELECT * FROM facts WHERE date_reg = DATE '2001-07-01' AND fuel <> '1-URGENT'),
-table_ AS (
-  SELECT date_reg, fuel, fuel_grouped FROM facts
-  WHERE date_reg IS NULL OR date_reg <> DATE '2001-07-01'
-  UNION ALL SELECT date_reg, fuel, fuel_grouped FROM again
-  UNION ALL SELECT DATE '2002-07-01', fuel, fuel_grouped FROM again WHERE fuel = '5-LOW'
-)
-SELECT date_reg, fuel, fuel_grouped, count(*) AS n FROM table_ GROUP BY ALL"""
-        ),
+        "curated_month_refresh": f"WITH {REFRESHED}"
+        " SELECT date_reg, fuel, fuel_grouped, count(*) AS n FROM facts GROUP BY ALL",
+        "kept_counts_refresh": _summary(model_keys, None, REFRESHED),
+        "stored_calendar": REPORTING_CALENDAR,
         "extract_rejects": _simple(
             """
 , rows_ AS (SELECT *, part % 7 AS kind FROM facts WHERE date_reg IS NOT NULL)

@@ -3,7 +3,7 @@ writes every report and prints the anchor month.
 
     python -m tallytide curate TABLE EXTRACT [EXTRACT ...] [--multiline] [--months]
                                [--header NAME,NAME ...] [--rejects FOLDER]
-    python -m tallytide report TABLE FOLDER [--as-of DATE] [--top N] [--dedup]
+    python -m tallytide report TABLE FOLDER [--as-of DATE] [--top N] [--dedup] [--counts FOLDER]
 
 On a cluster, hand this file to ``spark-submit`` with the package in ``--py-files``.
 """
@@ -14,16 +14,26 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from tallytide.operators import as_of_date, preview
-from tallytide.plans import build_curated, dashboard, display
+from tallytide.plans import build_curated, dashboard, display, kept_dashboard, update_counts
 from tallytide.sources import REJECT_SCHEMA, read_curated
 
 
 def report(
-    spark: SparkSession, table: str, folder: str, as_of: str | None, top: int, dedup: bool
+    spark: SparkSession,
+    table: str,
+    folder: str,
+    as_of: str | None,
+    top: int,
+    dedup: bool,
+    counts: str | None,
 ) -> None:
     """Write summaries, their display tables, trends and the make and model list."""
-    facts = read_curated(spark, table)
-    pages = dashboard(facts, as_of, top, dedup)
+    if counts is None:
+        pages = dashboard(read_curated(spark, table), as_of, top, dedup)
+    else:
+        months = update_counts(spark, table, counts)
+        print(f"{len(months)} months counted")
+        pages = kept_dashboard(spark, counts, as_of, top, dedup)
     for name in ("makes", "models", "fuels"):
         target = f"{folder}/{name}"
         getattr(pages, name).write.mode("overwrite").parquet(target)
@@ -56,6 +66,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
     report_job.add_argument("--as-of", help="ISO date; the latest month if left out")
     report_job.add_argument("--top", type=int, default=10, help="number of leaders in a trend")
     report_job.add_argument("--dedup", action="store_true", help="count a repeated leader once")
+    report_job.add_argument("--counts", help="folder of monthly counts to keep and start from")
     options = parser.parse_args(arguments)
 
     spark = SparkSession.builder.appName("tallytide").getOrCreate()
@@ -78,7 +89,13 @@ def main(arguments: Sequence[str] | None = None) -> None:
                 print(f"{row['count']} rejected rows: {row['reason']}")
     else:
         report(
-            spark, options.table, options.folder, options.as_of, options.top, options.dedup
+            spark,
+            options.table,
+            options.folder,
+            options.as_of,
+            options.top,
+            options.dedup,
+            options.counts,
         )
 
 

@@ -15,6 +15,7 @@ from tallytide.functions.dates import (
     year_start,
     ytd_label,
 )
+from tallytide.sources.months import stored_months
 
 # The names of the periods, in the order that ties follow.
 PERIODS = ("current", "previous", "previous_year", "ytd_current", "ytd_previous")
@@ -66,8 +67,8 @@ class Calendar:
     label_ytd_previous: str | None
 
     @classmethod
-    def at(cls, spark: SparkSession, as_of: dt.date | str) -> "Calendar":
-        """Calendar of the month of a date or ISO string."""
+    def at(cls, spark: SparkSession, as_of: dt.date | str | None) -> "Calendar":
+        """Calendar of the month of a date or ISO string; without dates if there is none."""
         (row,) = spark.range(1).select(*calendar_columns(F.lit(as_of).cast("date"))).collect()
         return cls(**row.asDict())
 
@@ -77,6 +78,16 @@ class Calendar:
         (row,) = reporting_calendar(facts, date).collect()
         return cls(**row.asDict())
 
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, date: str = "date_reg") -> "Calendar":
+        """Calendar of the latest month of a table stored by ``date``, from its folders' names.
+
+        No file is opened, while ``latest`` reads the footer of every one. Without a month
+        all dates are None.
+        """
+        known = [month for month in stored_months(spark, path, date) if month is not None]
+        return cls.at(spark, max(known, default=None))
+
     def contains(self, period: str, date: str) -> Column:
         """Whether the column ``date`` lies in the period.
 

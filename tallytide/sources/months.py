@@ -8,7 +8,9 @@ write begins with. A table has one writer at a time.
 """
 
 import datetime as dt
+import hashlib
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,31 @@ def stored_months(
     return known + [None] * (NO_VALUE in values)
 
 
+def month_files(
+    spark: SparkSession, path: str, date: str = "date_reg"
+) -> dict[dt.date | None, str]:
+    """A digest of the names of each stored month's files.
+
+    Every write gives its files new names, so the digest tells whether a month was written again.
+    """
+    files = _Files(spark, path)
+    found = {}
+    for month in stored_months(spark, path, date):
+        folder = f"{date}={NO_VALUE if month is None else month.isoformat()}"
+        names = "\n".join(_visible(files.names(folder)))
+        found[month] = hashlib.sha256(names.encode()).hexdigest()
+    return found
+
+
+def drop_months(
+    spark: SparkSession, path: str, months: Iterable[dt.date | None], date: str = "date_reg"
+) -> None:
+    """Delete months of a stored table."""
+    files = _Files(spark, path)
+    for month in months:
+        files.delete(f"{date}={NO_VALUE if month is None else month.isoformat()}")
+
+
 def finish_replacing(spark: SparkSession, path: str) -> None:
     """Finish what broken off jobs have left: complete months go to their places, others go.
 
