@@ -2,8 +2,8 @@
 
 A line's frequency on a host is the number of the host's pages that contain it, in parts of
 all its pages. Lines above a ratio are boilerplate and are dropped from the pages of that host
-alone, if they are on ``LEAST_REPEATS`` pages at least. Hosts with fewer than ``least_pages``
-pages keep all lines: ``LEAST_PAGES`` by default, 1 for no such limit.
+alone, if they are on ``LEAST_REPEATS`` pages at least, on hosts of every size. ``least_pages`` can
+keep hosts with fewer pages out of it.
 
 A page counts once for a line it repeats. Lines are compared as they are after trimming
 blanks; empty ones are dropped. Pages without a host form one group, as do pages whose host is
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallytide.llm.common import written
 
 RATIO = 0.3
-LEAST_PAGES = 10
+LEAST_PAGES = 1
 # On a host of two or three pages, a line of a single page is above the ratio as well.
 LEAST_REPEATS = 2
 

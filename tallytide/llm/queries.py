@@ -133,7 +133,6 @@ ORACLE_SQL = {
             FROM pages
         ), totals AS (
             SELECT host, count(*) AS n_pages FROM pieces GROUP BY host
-            HAVING count(*) >= {lines.LEAST_PAGES}
         ), spread AS (
             SELECT host, page_id, unnest(list_distinct(lines)) AS line FROM pieces
         ), boilerplate AS (
@@ -142,6 +141,7 @@ ORACLE_SQL = {
                 SELECT s.host, s.line FROM spread s JOIN totals t ON s.host = t.host
                 GROUP BY s.host, s.line, t.n_pages
                 HAVING count(*) * 1000 > t.n_pages * {round(lines.RATIO * 1000)}
+                    AND count(*) >= {lines.LEAST_REPEATS}
             ) GROUP BY host
         ), kept AS (
             SELECT p.page_id, p.host, p.lines,
