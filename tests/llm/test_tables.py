@@ -175,16 +175,16 @@ def test_lines_above_the_ratio_go_from_their_host_alone(spark):
     }
     assert len(found) == len(rows)
     assert found[3]["text"] == "own 3\nrare3" and (found[3]["n_lines"], found[3]["n_dropped"]) == (4, 2)
-    assert found[100]["text"] == "menu" and found[201]["text"] == "x"
+    assert found[100]["text"] == "" and found[101]["n_dropped"] == 1 and found[201]["text"] == "x"
     assert found[200]["text"] == "" and found[202]["n_lines"] == 0
     empty = lines.without_boilerplate(pages.where("false"), "page_id", F.col("host"), F.col("html"))
     assert empty.count() == 0
 
 
-def test_small_hosts_lose_what_their_pages_share_if_no_least_size_is_set(spark):
+def test_small_hosts_lose_what_their_pages_share(spark):
     rows = [(10 * n + i, f"h{n}", f"menu\nown {n} {i}") for n in range(1, 10) for i in range(n)]
     pages = spark.createDataFrame(rows, "page_id bigint, host string, html string")
-    found = lines.without_boilerplate(pages, "page_id", F.col("host"), F.col("html"), least_pages=1)
+    found = lines.without_boilerplate(pages, "page_id", F.col("host"), F.col("html"))
     texts = {r["page_id"]: r["text"] for r in found.collect()}
     assert texts == {
         page: text if host == "h1" else text.removeprefix("menu\n") for page, host, text in rows
@@ -212,6 +212,10 @@ def plain_overlaps(docs, items):
             wanted = decontaminate.word_hashes(other).tolist()
             n = len(wanted)
             if n < decontaminate.LEAST_WORDS:
+                if n >= decontaminate.LEAST_EXACT and any(
+                    words[i : i + n] == wanted for i in range(len(words) - n + 1)
+                ):
+                    found.add((doc_id, item))
                 continue
             width = min(n, decontaminate.WINDOW)
             for begin in range(-n + 1, len(words)):
@@ -228,7 +232,7 @@ def test_overlaps_equal_all_alignments(spark):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(40)] + ["the", "of", "and"] * 4
     words = lambda n: rng.choices(vocabulary, k=n)
-    items = [(i, words(rng.choice([3, 8, 10, 11, 12, 20, 25, 60]))) for i in range(15)]
+    items = [(i, words(rng.choice([1, 2, 3, 5, 7, 8, 10, 11, 12, 20, 25, 60]))) for i in range(24)]
     docs = []
     for i in range(60):
         text = words(rng.randrange(0, 80))
@@ -258,8 +262,35 @@ def test_letters_of_scripts_without_spaces_are_words(spark):
     )
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     found = {tuple(r)[:2] for r in decontaminate.overlaps(docs, bench).collect()}
-    assert found == {(1, 1), (2, 2)}
-    assert sorted(map(tuple, decontaminate.too_short(bench).collect())) == [(3, 3), (4, 3)]
+    assert found == {(1, 1), (2, 2), (3, 3), (4, 4)}
+    short = spark.createDataFrame([(1, "a b c"), (2, "a b"), (3, None)], "item_id bigint, text string")
+    assert sorted(map(tuple, decontaminate.too_short(short).collect())) == [(2, 2), (3, 0)]
+
+
+def test_short_and_nameless_items_and_documents_without_an_id(spark):
+    bench = spark.createDataFrame(
+        [(1, "What is the capital of France?"), (None, "a b c d e f g h i j")], "item_id bigint, text string"
+    )
+    rows = [
+        (1, "x what is the capital of france y"), (2, "What is a capital of France?"), (3, "zero a b c d e f g h i j"),
+        (None, "What is the capital of France"), (None, "clean text without any item"), (None, None),
+    ]
+    docs = edge.documents(spark, *rows)
+    found = {(r["doc_id"], r["n_items"], r["items"], r["kept"]) for r in decontaminate.decontaminated(docs, bench).collect()}
+    assert found == {(1, 1, "1", False), (2, 0, "", True), (3, 1, "", False), (None, 1, "1", False), (None, 0, "", True)}
+    left = decontaminate.without_leaks(docs, bench)
+    assert left.columns == docs.columns
+    texts = {(r["doc_id"], r["text"]) for r in left.collect()}
+    assert texts == {rows[1], rows[4], rows[5]}
+
+
+def test_a_phrase_repeated_in_one_document_and_many_items(spark):
+    phrase = "one two three four five six seven eight nine"
+    items = [(i, " ".join([phrase, *(f"end{i}of{j}" for j in range(6))])) for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = edge.documents(spark, (1, f"{phrase} . " * 5000), (2, items[7][1]), (3, f"{phrase} " * 40 + items[9][1]))
+    found = {tuple(r)[:2] for r in decontaminate.overlaps(docs, bench).collect()}
+    assert found == {(2, 7), (3, 9)}
 
 
 def test_pipeline_equals_its_decisions_made_one_by_one(spark):
