@@ -32,14 +32,17 @@ from tallytide.llm.common import map_batches, texts_of
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 
-# Words and neighbours remembered by a worker; the memory is emptied when it is full.
+# Words and neighbours remembered by a worker; the memory is emptied when it is full, by number or
+# by the code points of its words.
 REMEMBERED = 400_000
+REMEMBERED_CHARS = 32_000_000
 
 # How the tokenizer cuts text into words, and white space as it sees it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = r"\t-\r \x85\xa0  -     　"
 
 # A unit is a run without white space, with the blank before it, or a run of white space.
+_IS_SPACE = re.compile(f"[{SPACE}]")
 _UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -73,6 +76,9 @@ class PrefixCounter:
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         self.words: dict[str, int] = {}
         self.units: dict[str, int] = {}
+        self.chars = 0
+        # Then white space before a cut is a word of its own, whatever stands before it.
+        self.space_apart = not any(_IS_SPACE.search(t) for t in special)
 
     def _stay_apart(self, left: bytes, right: bytes) -> bool:
         """Whether BPE leaves the two tokens as they are when they stand together."""
@@ -113,19 +119,24 @@ class PrefixCounter:
                 break
         return counts
 
+    def _make_room(self, memory: dict[str, int], word: str) -> None:
+        self.chars += len(word)
+        if len(memory) >= REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.words.clear()
+            self.units.clear()
+            self.chars = len(word)
+
     def _piece(self, piece: str) -> int:
         found = self.words.get(piece)
         if found is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
+            self._make_room(self.words, piece)
             found = self.words[piece] = self.byte_prefixes(piece.encode())[-1]
         return found
 
     def _unit(self, unit: str) -> int:
         found = self.units.get(unit)
         if found is None:
-            if len(self.units) >= REMEMBERED:
-                self.units.clear()
+            self._make_room(self.units, unit)
             found = self.units[unit] = sum(map(self._piece, self.pieces.findall(unit)))
         return found
 
@@ -162,6 +173,8 @@ class PrefixTable:
         units, counts = counter.segments(text)
         self.ends = list(accumulate(map(len, units), initial=0))
         self.counts = list(accumulate(counts, initial=0))
+        # The run of white space asked for last: where it begins, and the tokens up to each place.
+        self._run: tuple[int, list[int]] = (0, [])
 
     @property
     def total(self) -> int:
@@ -173,9 +186,32 @@ class PrefixTable:
 
     def count_at(self, offset: int) -> int:
         """Tokens of the first ``offset`` code points."""
+        if offset and self.counter.space_apart and _IS_SPACE.match(self.text, offset - 1):
+            return self._count_in_space(offset)
         first = self._start(bisect_left(self.ends, offset) - 1)
         return self.counts[first] + self.counter.total(self.text[self.ends[first] : offset])
 
+    def _count_in_space(self, offset: int) -> int:
+        """Tokens of a prefix that ends with white space.
+
+        All white space at its end is one word there, so one table serves every prefix that ends in
+        the same run.
+        """
+        begin, counts = self._run
+        if not begin < offset < begin + len(counts):
+            begin = end = offset - 1
+            while begin and _IS_SPACE.match(self.text, begin - 1):
+                begin -= 1
+            while end < len(self.text) and _IS_SPACE.match(self.text, end):
+                end += 1
+            run = self.text[begin:end]
+            inside = self.counter.byte_prefixes(run.encode())
+            places = accumulate((len(letter.encode()) for letter in run), initial=0)
+            before = self.count_at(begin)
+            counts = [before + inside[place] for place in places]
+            self._run = (begin, counts)
+        return counts[offset - begin]
+
     def _cuts(self, unit: int) -> Iterator[tuple[int, int]]:
         """(offset, tokens) of the prefixes that end in a unit, its end included, last first."""
         counter, at, before = self.counter, self.ends[unit], self.counts[unit]

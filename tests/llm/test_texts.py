@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import sys
+import time
 
 sys.path.insert(0, os.path.dirname(__file__))
 
@@ -128,6 +129,22 @@ def test_merged_states_accept_what_the_tree_has_not_seen():
     assert automaton.bits("ab" * 60) < 60 * 12 and automaton.bits("zz" * 20) > automaton.bits("ab" * 20)
 
 
+def test_long_white_space_is_counted_in_one_pass():
+    counter, library = token_counts.counter(), Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    count = lambda text: len(library.encode(text, add_special_tokens=False).ids)
+    for text in ("\n\t" * 300 + "x y", "a" + " " * 700 + "b c", "\u3000 \n" * 90, " \r\n  'll  \t<|endoftext|> \n x"):
+        prefixes = counter.table(text)
+        assert [prefixes.count_at(k) for k in range(len(text) + 1)] == [
+            count(text[:k]) for k in range(len(text) + 1)
+        ]
+    began = time.monotonic()
+    for text in ("\n\t" * 500_000, "a" + " " * 1_000_000 + "b", ("x" + " " * 5000) * 100):
+        prefixes = counter.table(text)
+        assert prefixes.total == count(text)
+        assert 0 < prefixes.longest_within(token_counts.LIMIT) <= len(text)
+    assert time.monotonic() - began < 60
+
+
 def test_token_counts_equal_the_library(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
