@@ -121,7 +121,9 @@ class PrefixCounter:
 
     def _make_room(self, memory: dict[str, int], word: str) -> None:
         self.chars += len(word)
-        if len(memory) >= REMEMBERED or self.chars > REMEMBERED_CHARS:
+        if len(memory) >= REMEMBERED:
+            memory.clear()
+        if self.chars > REMEMBERED_CHARS:
             self.words.clear()
             self.units.clear()
             self.chars = len(word)
