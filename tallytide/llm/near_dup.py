@@ -6,7 +6,7 @@ union sketch, and an exact check on full sets.
 * A document's set holds 64-bit hashes of its distinct shingles, sorted; the bottom-k sketch
   is its first ``SKETCH`` values. The same function orders every set, so the sketch of a union
   comes from two sketches.
-* Equal sets form one class, represented by its smallest id; only representatives go on.
+* Equal sets form one class, numbered (``rep``); one row represents it, and only these go on.
 * A document that has a partner shares most retained values with it. The inverted lists of the
   retained values tell which values occur in two sketches; documents with too few of these
   have no partner. For sets within the sketch this is exact, also when a partner's set is
@@ -22,7 +22,8 @@ union sketch, and an exact check on full sets.
   with the same chance of losing a pair); intersections of full sets decide.
 
 Nulls and texts without words give the empty set, which is linked with nothing. Rows that
-repeat a doc_id count as one document with several texts. Rows without an id are kept apart.
+repeat a doc_id count as one document with several texts: what one of them is linked with, all
+are, and all have one component. Rows without an id are kept apart.
 """
 
 from __future__ import annotations
@@ -77,13 +78,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
 
 
+def _digest(values: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(values.tobytes())
+
+
 def _sketches(words: int):
     def columns(batch: pa.RecordBatch) -> list:
         sets = [shingle_set(text, words) for text in texts_of(batch.column(1))]
         return [
             batch.column(0),
             pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]),
+            pa.array([_digest(s) for s in sets]),
             _lists([s[:SKETCH] for s in sets]),
         ]
 
@@ -91,8 +96,12 @@ def _sketches(words: int):
 
 
 def _full_sets(words: int):
+    """Sets of rows (rep, set_hash, text); none for another text of the same document."""
+
     def columns(batch: pa.RecordBatch) -> list:
-        sets = [shingle_set(text, words) for text in texts_of(batch.column(1))]
+        sets = [shingle_set(text, words) for text in texts_of(batch.column(2))]
+        wanted = batch.column(1).to_pylist()
+        sets = [s if _digest(s) == own else s[:0] for s, own in zip(sets, wanted)]
         return [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)]
 
     return columns
@@ -136,8 +145,10 @@ def _likely(a: Column, b: Column, size: int, percent: int) -> Column:
     ).otherwise((F.size(both) >= fewest) & (F.size(F.array_intersect(lowest, both)) >= fewest))
 
 
-def _candidate_sets(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """Full sets of the representatives that may have a partner."""
+def _candidate_sets(
+    docs: DataFrame, reps: DataFrame, repeated_ids: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """Full sets of the classes that may have a partner, one row each."""
     values = reps.select("rep", "n", F.explode("sketch").alias("value"))
     repeated = values.groupBy("value").count().where("count > 1").select("value")
     # A small set's partner may have this many values, and lack some of them in its sketch.
@@ -152,8 +163,14 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, words: int, percent: int)
         .count()
         .where(F.col("count") >= enough)
     )
-    chosen = docs.join(found.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = map_batches(chosen, _full_sets(words), "rep bigint, n bigint, values array<bigint>")
+    places = found.select("rep").join(reps.select("rep", "doc_id", "set_hash"), "rep")
+    chosen = docs.join(places, "doc_id")
+    if not repeated_ids.isEmpty():
+        once = chosen.join(repeated_ids, "doc_id", "left_anti")
+        again = chosen.join(repeated_ids, "doc_id", "left_semi")
+        chosen = once.unionByName(again.dropDuplicates(["rep", "text"]))
+    rows = chosen.select("rep", "set_hash", "text")
+    sets = map_batches(rows, _full_sets(words), "rep bigint, n bigint, values array<bigint>")
     return written(sets.where("n > 0"))
 
 
@@ -317,19 +334,42 @@ def near_duplicates(
     schema = "doc_id bigint, n bigint, set_hash string, sketch array<bigint>"
     base = written(map_batches(docs, _sketches(words), schema))
     known = base.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
+    classes = written(
+        known.groupBy("set_hash")
+        .agg(F.min("doc_id").alias("least"))
+        .withColumn("rep", F.monotonically_increasing_id())
+    )
     reps = written(
-        known.join(classes, "set_hash").where("doc_id = rep").select("rep", "n", "sketch")
+        known.join(classes, "set_hash")
+        .where("doc_id = least")
+        .dropDuplicates(["set_hash"])
+        .select("rep", "doc_id", "set_hash", "n", "sketch")
     )
-    sets = _candidate_sets(docs, reps, words, percent)
-    labels = components(_links(sets, percent))
+    repeated_ids = written(
+        base.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    )
+    sets = _candidate_sets(docs, reps, repeated_ids, words, percent)
+
+    # What the texts of one document are linked with is one component.
+    texts = known.join(repeated_ids, "doc_id").select("doc_id", "set_hash")
+    own = written(texts.join(classes, "set_hash").select("doc_id", "rep").distinct())
+    first = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    one = own.join(first, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
+    labels = written(components(_links(sets, percent).union(one)))
+    linked = classes.join(labels.withColumnRenamed("node", "rep"), "rep")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
     named = written(
-        classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("set_hash", F.coalesce("root", "rep").alias("root"))
+        classes.join(linked.join(smallest, "root").select("rep", "component"), "rep", "left")
+        .select("set_hash", "rep", F.coalesce("component", "least").alias("root"))
+    )
+    # A text without words has the component of its document's other texts.
+    of_document = first.join(named.withColumnRenamed("rep", "a"), "a").select(
+        "doc_id", F.col("root").alias("of_document")
     )
-    component = F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.coalesce("of_document", F.when(F.col("n") > 0, F.col("root")), "doc_id")
     return (
-        base.join(named, "set_hash", "left")
+        base.join(named.select("set_hash", "root"), "set_hash", "left")
+        .join(of_document, "doc_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

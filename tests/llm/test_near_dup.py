@@ -85,6 +85,26 @@ def test_links_of_sets_about_as_large_as_a_sketch(spark, words, percent):
     assert {r["doc_id"]: r["component_id"] for r in found} == roots
 
 
+def test_texts_of_one_document_are_linked(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(9)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, ""), (5, ""), (9, " "), (9, None), (4, "a single text")]
+    found = near_duplicates(edge.documents(spark, *rows)).collect()
+    assert len(found) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {
+        (3, 3), (5, 3), (7, 3), (8, 8), (9, 9), (4, 4),
+    }
+
+
+def test_repeated_ids_equal_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(200) if rng.random() < 0.2 else doc, text) for doc, text in groups(4)]
+    rows += [(rng.randrange(250), rng.choice(["", None, "two words"])) for _ in range(20)]
+    found = near_duplicates(edge.documents(spark, *rows)).collect()
+    roots, _ = exact(rows)
+    assert len(found) == len(rows)
+    assert all(r["component_id"] == roots[r["doc_id"]] for r in found)
+
+
 def test_odd_rows(spark):
     found = near_duplicates(edge.odd(spark)).collect()
     roots, _ = exact([row[:2] for row in edge.ODD_ROWS])
