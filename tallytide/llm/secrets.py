@@ -1,7 +1,8 @@
 """Secrets in texts: three plain patterns, and probabilistic automata learnt from their finds.
 
 Values that the patterns find are labelled credentials. Per kind, a prefix tree of a bounded
-sample of distinct values (``SAMPLE``, picked by hash) is made an automaton by merging states
+sample of distinct values (``SAMPLE``, picked by hash, of up to ``LONGEST_TAUGHT`` characters) is
+made an automaton by merging states
 whose frequencies of ending and of going on do not differ beyond a Hoeffding bound,
 recursively with the states below them. Letters are grouped into classes, so that an automaton
 learns formats rather than values. One more automaton is learnt from runs of the same
@@ -30,6 +31,7 @@ from tallytide.llm.common import map_batches, texts_of, written
 
 KINDS = ("assign", "access", "hex")
 SAMPLE = 500
+LONGEST_TAUGHT = 512
 SHORTEST = 16
 MARGIN = 16.0
 
@@ -79,15 +81,22 @@ def runs(
 ) -> list[tuple[str, int, int, str]]:
     """Candidates: (kind, start, end, value) of runs beside the patterns' finds and of their parts.
 
-    The kind is empty; it is ``rest`` for what follows an ``=``, which is scored only.
+    ``taken`` is sorted by start. The kind is empty; it is ``rest`` for what follows an ``=``,
+    which is scored only.
     """
     found: dict[tuple[int, int], str] = {}
+    near, at = [], 0
     for m in _RUN.finditer(text):
+        # Runs and finds are both in order; at most one find per kind reaches from run to run.
+        near = [span for span in near if span[2] > m.start()]
+        while at < len(taken) and taken[at][1] < m.end():
+            if taken[at][2] > m.start():
+                near.append(taken[at])
+            at += 1
         begin, pieces = m.start(), []
-        for _, start, end, _ in taken:
-            if start < m.end() and m.start() < end:
-                pieces.append((begin, start))
-                begin = max(begin, end)
+        for _, start, end, _ in near:
+            pieces.append((begin, start))
+            begin = max(begin, end)
         for start, end in [*pieces, (begin, m.end())]:
             if end - start < SHORTEST:
                 continue
@@ -245,8 +254,15 @@ def scan(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def samples(scanned: DataFrame, size: int = SAMPLE) -> dict[str, list[str]]:
-    """Up to ``size`` distinct values of each kind and of the other runs (kind '')."""
-    values = scanned.select(F.explode(F.concat("base", "runs")).alias("s")).select("s.kind", "s.value")
+    """Up to ``size`` distinct values of each kind and of the other runs (kind '').
+
+    Those of more than ``LONGEST_TAUGHT`` characters teach nothing; they are scored like others.
+    """
+    values = (
+        scanned.select(F.explode(F.concat("base", "runs")).alias("s"))
+        .select("s.kind", "s.value")
+        .where(F.length("value") <= LONGEST_TAUGHT)
+    )
     found = {}
     for kind in (*KINDS, ""):
         of_kind = values.where(F.col("kind") == kind).select("value").distinct()

@@ -1,8 +1,10 @@
 """Language ID, secrets, token counts and fingerprints."""
 
 import hashlib
+import math
 import os
 import random
+import re
 import sys
 import time
 
@@ -91,6 +93,118 @@ def test_patterns_drop_only_failing_matches():
     assert spans("secret=" + "a" * 30) == [("assign", 0, 37), ("hex", 7, 37)]
 
 
+def slow_base(text):
+    """Finds of the three patterns, letter by letter."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    digits, capitals = "0123456789", letters.upper()
+
+    def stretch(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assigned(at):
+        low = text[at : at + 8].translate({ord(c): c.lower() for c in capitals})
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name):
+                end = at + len(name)
+                end += text[end : end + 1] in ("'", '"')
+                end = stretch(end, " ")
+                if text[end : end + 1] not in (":", "="):
+                    return None
+                end = stretch(end + 1, " ")
+                end += text[end : end + 1] in ("'", '"')
+                after = stretch(end, letters + capitals + digits + "+/_.=-")
+                return (after, after - end >= 6) if after > end else None
+
+    def access(at):
+        end = stretch(at + 4, capitals + digits)
+        return (end, end - at >= 20) if text.startswith("AKIA", at) and end > at + 4 else None
+
+    def hexadecimal(at):
+        end = stretch(at, "abcdef" + digits)
+        return (end, end - at >= 24) if end > at else None
+
+    found = []
+    for kind, match in (("assign", assigned), ("access", access), ("hex", hexadecimal)):
+        at = 0
+        while at < len(text):
+            end, fits = match(at) or (at + 1, False)
+            if fits:
+                found.append((kind, at, end))
+            at = end
+    return sorted(found, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_base_spans_of_the_table_equal_slow_ones(spark):
+    rng = random.Random(8)
+    parts = [
+        "token", "Secret", "API_KEY", "apikey", "passwd", " ", "  ", ":", "=", "'", '"', "AKIA", "é", ".",
+        "AB12" * 4, "abc123" * 4, "x-y", "\u212a", "deadbeef" * 3, "A1B2C3D4E5F6G7H8", "\n", "ſecret",
+    ]
+    made = [(-i, "".join(rng.choices(parts, k=rng.randrange(30)))) for i in range(1, 1500)]
+    docs = table(spark, SF_DIR, "documents").select("doc_id", "text")
+    texts = dict(map(tuple, docs.collect())) | dict(made)
+    schema = "doc_id bigint, text string"
+    found = secrets.secrets(docs.union(spark.createDataFrame(made, schema))).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        base = slow_base(texts[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in secrets.KINDS] == [sum(s[0] == k for s in base) for k in secrets.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(secrets.as_text(base).encode()).hexdigest()
+        assert {f"{k}:{b}:{e}" for k, b, e in base} <= set(r["spans"].split(","))
+
+
+def slow_candidates(text, base):
+    """Candidates from a look at all finds for every run."""
+    found = {}
+    for run in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        taken = {i for _, start, end, _ in base for i in range(start, end)}
+        free = "".join("\0" if i in taken else text[i] for i in range(*run.span()))
+        for piece in re.finditer("[^\0]{16,}", free):
+            start, end = (at + run.start() for at in piece.span())
+            found[start, end] = ""
+            for part in re.finditer("[A-Za-z0-9]{16,}", piece[0]):
+                found[start + part.start(), start + part.end()] = ""
+            if "=" in piece[0]:
+                name = re.match("[^=]*=+", piece[0]).end()
+                if end - start - name >= 16:
+                    found.setdefault((start + name, end), "rest")
+    return [(kind, start, end, text[start:end]) for (start, end), kind in sorted(found.items())]
+
+
+def test_candidates_equal_slow_ones_and_take_one_pass():
+    rng = random.Random(9)
+    parts = ["token=", "a" * 30, "Zz9/" * 5, ".", "=", " ", "AKIA" + "Q7" * 9, "0f" * 13, "word-", "Q" * 17]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(12)))
+        base = secrets.base_spans(text)
+        assert secrets.runs(text, base) == slow_candidates(text, base)
+    values = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(100_000)]
+    text, begin = " Q".join(values), time.process_time()
+    assert len(secrets.runs(text, secrets.base_spans(text))) == 0
+    assert time.process_time() - begin < 20
+
+
+def test_trees_score_by_plain_counts(monkeypatch):
+    """Without merging, the automaton is the prefix tree."""
+    monkeypatch.setattr(secrets.Automaton, "_merge", lambda *_: None)
+    rng = random.Random(10)
+    values = ["".join(rng.choices("ab0Z-", k=rng.randrange(1, 6))) for _ in range(60)]
+    seen = [value.translate(str.maketrans("bZ", "aA")) for value in values]
+    tree = secrets.Automaton(values)
+    for value in [*values, "zzz", "", "-" * 9]:
+        bits, coded = 0.0, value.translate(str.maketrans("bZ", "aA"))
+        for i, letter in enumerate(coded):
+            there = sum(s.startswith(coded[:i]) for s in seen)
+            on = sum(s.startswith(coded[: i + 1]) for s in seen)
+            bits += math.log2({"0": 10, "a": 6, "z": 20, "A": 26}.get(letter, 1))
+            bits -= math.log2((on + 0.05) / (there + 0.6))
+        ended, there = seen.count(coded), sum(s.startswith(coded) for s in seen)
+        assert math.isclose(tree.bits(value), bits - math.log2((ended + 0.05) / (there + 0.6)))
+
+
 def test_automata_add_credentials_of_a_learnt_format(spark):
     rng = random.Random(4)
     key = lambda: "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))
