@@ -10,6 +10,13 @@ When a source has no more blocks, a new schedule begins at that slot with the we
 others. Every document gets exactly one place. Documents within a source are ordered by a hash
 of their id. Documents of sources without a weight, null among them, form one source of the
 smallest weight. Rows that repeat an id get places of their own.
+
+The number of sources has no limit. The largest ``SINGLES`` are scheduled one by one, the others
+in classes of about equal size, each a source of the schedule with the weight of its members.
+Members of a class have equal weights, and the Pfair schedule of equal weights is a round of all
+members after the other: block j of each before block j + 1 of any. So it is a sort by j, and no
+task or driver holds the members. Of any number of sources, the schedule has at most ``SINGLES``
+and eight classes per doubling of the size.
 """
 
 from __future__ import annotations
@@ -21,13 +28,17 @@ from math import gcd
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallytide.llm.common import numbered
+from tallytide.llm.common import numbered, written
 
 BLOCK = 64
 LONGEST_PERIOD = 10_000
-MOST_SOURCES = 1_000
+SINGLES = 200
+
+# Classes of sizes for each doubling.
+STEPS = 8
 
 _OTHERS = "\0others"
+_CLASS = "\0size:"
 
 
 def period(weights: Mapping[str, int]) -> list[str]:
@@ -76,21 +87,55 @@ def phases(weights: Mapping[str, int], blocks: Mapping[str, int]) -> list[tuple]
     return found
 
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    """(source, n, class) of the sources of ``rows``; a class has sources of about one size."""
+    step = F.floor(F.log2("n") * STEPS).cast("string")
+    sizes = rows.where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n"))
+    return written(sizes.withColumn("class", F.concat(F.lit(_CLASS), step)))
+
+
 def tempered_weights(
-    docs: DataFrame, source: str = "source", power: float = 0.5, total: int = 1_000
+    docs: DataFrame,
+    source: str = "source",
+    power: float = 0.5,
+    total: int = 1_000,
+    singles: int = SINGLES,
 ) -> dict[str, int]:
     """Weights in proportion to a power of the sources' sizes, 1 at least.
 
-    Raises an error for more than ``MOST_SOURCES`` sources; give weights of groups then.
+    The ``singles`` largest sources have their own, classes of the others the sum of their
+    members. The weights add up to about ``total``, or to ten times their number if that is more.
+    One row per weight comes to the driver.
+    """
+    sizes = _sizes(docs.select(F.col(source).cast("string").alias("source")))
+    largest = sizes.orderBy(F.desc("n"), "source").limit(singles).select("source", F.col("source").alias("own"))
+    shares = (
+        sizes.join(largest, "source", "left")
+        .groupBy(F.coalesce("own", "class").alias("name"))
+        .agg(F.sum(F.pow("n", F.lit(power))).alias("share"))
+        .collect()
+    )
+    scale = sum(row["share"] for row in shares)
+    total = max(total, 10 * len(shares))
+    return {row["name"]: max(1, round(total * row["share"] / scale)) for row in shares}
+
+
+def _in_rounds(rows: DataFrame, classes: list[str], block: int) -> DataFrame:
+    """``rows``, those of sources in ``classes`` with the number of their block in their source.
+
+    The sources are smaller than each single one, so that none is hot in the joins.
     """
-    rows = (
-        docs.where(F.col(source).isNotNull()).groupBy(F.col(source).cast("string").alias("name"))
-        .count().limit(MOST_SOURCES + 1).collect()
+    small = F.col("_name").eqNullSafe(_OTHERS) & F.col("source").isNotNull()
+    members = _sizes(rows.where(small)).where(F.col("class").isin(classes)).select("source", "class")
+    known = rows.where(small).join(members, "source", "left")
+    own = numbered(known.where("class IS NOT NULL"), ["source", "_draw", "doc_id"], "_n")
+    first = own.groupBy("source").agg(F.min("_n").alias("_least"))
+    rounds = own.join(first, "source").select(
+        "doc_id", "source", F.col("class").alias("_name"), "_draw",
+        F.expr(f"(_n - _least) div {block}").alias("_round"), F.col("source").alias("_turn"),
     )
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    scale = sum(row["count"] ** power for row in rows)
-    return {row["name"]: max(1, round(total * row["count"] ** power / scale)) for row in rows}
+    others = rows.where(~small).union(known.where("class IS NULL").select(rows.columns))
+    return others.union(rounds.select(rows.columns))
 
 
 def mixed(
@@ -100,19 +145,27 @@ def mixed(
     source: str = "source",
     block: int = BLOCK,
 ) -> DataFrame:
-    """(doc_id, source, slot, position) of every row; ``position`` puts them in their order."""
-    if len(weights) > MOST_SOURCES or any(w < 1 for w in weights.values()):
-        raise ValueError(f"weights must be positive, and at most {MOST_SOURCES}")
+    """(doc_id, source, slot, position) of every row; ``position`` puts them in their order.
+
+    ``weights`` are positive whole numbers of sources, and of classes as in ``tempered_weights``.
+    """
+    if any(w < 1 for w in weights.values()):
+        raise ValueError("weights must be positive")
     spark = docs.sparkSession
     name = F.col(source).cast("string")
-    listed = name.isin(list(weights)) if weights else F.lit(False)
+    classes = [name for name in weights if name.startswith(_CLASS)]
+    listed = name.isin([name for name in weights if name not in classes]) if weights else F.lit(False)
     rows = docs.select(
         F.col(id).cast("bigint").alias("doc_id"),
         name.alias("source"),
         F.when(listed, name).otherwise(_OTHERS).alias("_name"),
         F.xxhash64(F.col(id)).alias("_draw"),
+        F.lit(0).cast("bigint").alias("_round"),
+        F.lit(None).cast("string").alias("_turn"),
     )
-    placed = numbered(rows, ["_name", "_draw", "doc_id"], "_n")
+    if classes:
+        rows = _in_rounds(rows, classes, block)
+    placed = numbered(rows, ["_name", "_round", "_turn", "_draw", "doc_id"], "_n")
     # One row per weight.
     starts = placed.groupBy("_name").agg(F.min("_n").alias("_first"), F.count("*").alias("n")).collect()
     own = {**weights, _OTHERS: min(weights.values(), default=1)}
@@ -138,3 +191,4 @@ def mixed(
     return scheduled.withColumn("slot", slot).select(
         "doc_id", "source", "slot", (F.col("slot") * block + F.col("_k") % block).alias("position")
     )
+

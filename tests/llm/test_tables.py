@@ -76,6 +76,18 @@ def test_archives_keep_every_payload(spark, monkeypatch):
     assert warc.archived(spark, archive(spark, [])).count() == 0
 
 
+def test_a_long_payload_is_cut_once(spark):
+    html = "a line of é and 😀\r\n\r\n" * 200_000
+    path = archive(spark, [(1, "u", html), (2, "u", "short")])
+    chunks = warc.read_chunks(spark, path).where("page_id = 1").orderBy("chunk").collect()
+    raw, size = html.encode(), warc.CHUNK
+    contents = [r["content"].decode() for r in chunks]
+    assert contents == [html[i : i + size] for i in range(0, len(html), size)]
+    assert {(r["page_id"], r["payload_digest"]) for r in warc.archived(spark, path).collect()} == {
+        (1, hashlib.sha1(raw).hexdigest()), (2, hashlib.sha1(b"short").hexdigest()),
+    }
+
+
 def test_a_damaged_payload_is_an_error(spark):
     rows = [(1, 1, "response", None, "0" * 40, 1, 1, 3, hashlib.sha1(b"abc").hexdigest(), None)]
     with pytest.raises(Exception, match="damaged"):
@@ -124,6 +136,48 @@ def test_mixing_places_every_document_as_a_step_by_step_schedule_does(spark):
     assert mixing.mixed(edge.odd(spark), {}).count() == len(edge.ODD_ROWS)
 
 
+def test_any_number_of_sources_is_mixed(spark):
+    """Small sources go in rounds within classes of their size, classes as single sources do."""
+    rng = random.Random(6)
+    sizes = {"big": 700, "next": 300} | {f"s{i}": rng.choice([1, 2, 3, 9, 10]) for i in range(1_100)}
+    names = [name for name, n in sizes.items() for _ in range(n)] + [None] * 5
+    rows = [(i, "t", "en", name) for i, name in enumerate(names)]
+    docs = edge.documents(spark, *rows)
+    weights = mixing.tempered_weights(docs, singles=2)
+    class_of = lambda n: f"\0size:{math.floor(math.log2(n) * mixing.STEPS)}"
+    group = {name: name if n > 10 else class_of(n) for name, n in sizes.items()} | {None: None}
+    shares = Counter()
+    for name, n in sizes.items():
+        shares[group[name]] += n**0.5
+    total = sum(shares.values())
+    assert weights == {g: max(1, round(1_000 * s / total)) for g, s in shares.items()}
+
+    found = mixing.mixed(docs, weights, block=4).orderBy("position").collect()
+    assert sorted(r["doc_id"] for r in found) == [r[0] for r in rows]
+    assert len({r["position"] for r in found}) == len(rows)
+    in_order, slots = {}, {}
+    for r in found:
+        in_order.setdefault(group[r["source"]], []).append(r["source"])
+        slots.setdefault(r["slot"], set()).add(group[r["source"]])
+    assert sorted(slots) == list(range(len(slots))) and all(len(g) == 1 for g in slots.values())
+    for name, sources in in_order.items():
+        if name and name.startswith("\0size"):
+            seen, rounds = Counter(), []
+            for source in sources:
+                rounds.append((seen[source] // 4, source))
+                seen[source] += 1
+            assert rounds == sorted(rounds)
+    # Until the first source ends, everyone keeps to the target within a block.
+    own = {**weights, None: min(weights.values())}
+    left = {name: -(-len(sources) // 4) for name, sources in in_order.items()}
+    seen = Counter()
+    for slot in range(len(slots)):
+        seen[next(iter(slots[slot]))] += 1
+        assert all(abs(seen[g] - (slot + 1) * own[g] / sum(own.values())) < 1 for g in own)
+        if any(seen[g] == left[g] for g in own):
+            break
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 7, 300, 2500):
