@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -72,22 +72,34 @@ def with_originals(pages: DataFrame, least: int = LEAST) -> DataFrame:
     )
 
 
+def _cut(size: int) -> Callable[[Column], Column]:
+    def parts(text: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)), F.lit(size))
+        return F.transform(starts, lambda start: F.substring(text, start, F.lit(size)))
+
+    return parts
+
+
 def chunked(records: DataFrame) -> DataFrame:
-    """One row per chunk: revisits and short payloads are one chunk, numbered from 1."""
-    length = F.when(F.col("refers_to").isNull(), F.length("payload")).otherwise(0)
-    pieces = F.greatest(F.lit(1), F.ceil(length / CHUNK).cast("int"))
-    return (
+    """One row per chunk: revisits and short payloads are one chunk, numbered from 1.
+
+    A payload is cut in at most 16 parts, each of these in 16, and so on: letters have to be
+    counted from the start of what is cut, so this keeps the work in proportion to the length. A
+    row carries its own chunk only.
+    """
+    whole = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("")
+    pieces = F.array(whole)
+    for size in (CHUNK << 12, CHUNK << 8, CHUNK << 4, CHUNK):
+        pieces = F.flatten(F.transform(pieces, _cut(size)))
+    cut = (
         records.withColumn("row", F.monotonically_increasing_id())
-        .withColumn("chunks", pieces)
-        .withColumn("chunk", F.explode(F.sequence(F.lit(1), "chunks")))
-        .withColumn(
-            "content",
-            F.when(F.col("refers_to").isNotNull(), "").otherwise(
-                F.substring("payload", (F.col("chunk") - 1) * CHUNK + 1, F.lit(CHUNK))
-            ),
-        )
+        .withColumn("pieces", pieces)
         .drop("payload")
+        .withColumn("chunks", F.size("pieces"))
     )
+    others = [name for name in cut.columns if name != "pieces"]
+    parts = cut.select(*others, F.posexplode("pieces").alias("chunk", "content"))
+    return parts.withColumn("chunk", F.col("chunk") + 1)
 
 
 def _record(date: str) -> Column:
