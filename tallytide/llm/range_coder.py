@@ -1,98 +1,101 @@
 """Adaptive context-mixing range coder for token ids.
 
 A block of ids is coded with nothing but its own history. Order 2 and order 1 each predict one
-id, the one that last followed the same two ids or the same one, with a confidence from 0 to 3;
-order 0 gives every id a probability from the counts of its upper byte in the block. For
-each pair of confidences, adaptive weights say how often order 2, order 1 or neither was
-right; they mix the three predictions into one interval of the range coder.
+id, the one that last followed the same two ids or the same one, with a confidence from 0 to 3:
+how often it did so in a row. Order 0 gives every id a probability from the counts of its upper
+byte in the block, taken over after 16 ids, 32, 64 and so on. For each pair of confidences,
+adaptive weights say how often order 2 was right, and order 1 where order 2 was not; they mix
+the three predictions into one interval of the range coder.
 
 Blocks are independent, so many of them are coded side by side: every step codes the next id
-of all blocks in array operations.
+of all blocks in array operations. All totals are powers of two, so that shifts stand for
+divisions; the one quotient, below 2**18, is exact in floating point.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-U = np.uint64
 IDS = 1 << 16
 
-_TOP, _BOTTOM = U(1 << 48), U((1 << 32) - 1)
-_CONTEXTS_1, _CONTEXTS_2 = 1 << 11, 1 << 13
-_WEIGHT_STEP, _WEIGHT_LIMIT = 12, U(480)
-_COUNT_STEP, _COUNT_LIMIT = 24, 1 << 13
+# The range stays within 32 and 48 bits; what leaves it goes out in words of 16 bits.
+_WINDOW, _LEAST = 48, 1 << 32
+_CONTEXTS_1, _CONTEXTS_2 = 1 << 10, 1 << 11
+# Weights of 12 bits stay within 31 and 4064, so that an interval has at least 2**-32 of the range.
+_WEIGHT_BITS, _WEIGHT_STEP, _RIGHT, _WRONG = 12, 5, 4064, 31
+# Slots of order 0 for the upper byte; each upper byte has one at least.
+_SLOT_BITS = 10
+_SLOTS = 1 << _SLOT_BITS
 _REFRESH = 16
+_HASH_1, _HASH_2 = np.int32(-1640531535), np.int32(5)
 
 
 class _Model:
     """Predictions for ``n`` blocks; the state after a step is the same in both directions."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, steps: int):
         lanes = np.arange(n, dtype=np.int64)
         self.at1, self.at2 = lanes * _CONTEXTS_1, lanes * _CONTEXTS_2
-        self.at_w, self.at_h = lanes * 16, lanes * 256
+        self.at_w, self.at_h, self.at_s = lanes * 16, lanes * 256, lanes * _SLOTS
         self.first = np.zeros(n * _CONTEXTS_1, np.int32)
         self.second = np.zeros(n * _CONTEXTS_2, np.int32)
-        # Right predictions of order 2, of order 1, and neither, by confidences.
-        self.weights = np.full((n * 16, 3), 8, np.int64)
-        self.counts = np.full((n, 256), 2, np.int64)
-        self.previous, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.refresh(n)
-
-    def refresh(self, n: int) -> None:
-        """Take over the counts of upper bytes; until the next time they stay as they are."""
-        counts = self.counts[:n]
-        full = counts.sum(1) > _COUNT_LIMIT - _REFRESH * _COUNT_STEP
-        if full.any():
-            counts[full] = (counts[full] + 1) >> 1
-        self.high = counts.ravel().astype(U)
-        ends = counts.cumsum(1)
-        self.below = (ends - counts).astype(U)
-        self.total = ends[:, -1].astype(U)
-
-    def predict(self, n: int) -> None:
-        self.slot1 = self.at1[:n] + ((self.previous[:n] * 40503 >> 3) & (_CONTEXTS_1 - 1))
-        mixed = self.before[:n] * 48271 + self.previous[:n] * 69621
-        self.slot2 = self.at2[:n] + ((mixed >> 4) & (_CONTEXTS_2 - 1))
-        self.entry1, self.entry2 = self.first[self.slot1], self.second[self.slot2]
-        self.guess1, self.guess2 = self.entry1 >> 2, self.entry2 >> 2
-        self.row = self.at_w[:n] + ((self.entry2 & 3) << 2 | (self.entry1 & 3))
-        weights = self.weights[self.row].astype(U)
-        self.unit = self.total[:n] << U(8)
-        self.end2 = weights[:, 0] * self.unit
-        self.end1 = self.end2 + weights[:, 1] * self.unit
-        self.weight0 = weights[:, 2]
-        self.scale = self.end1 + self.weight0 * self.unit
+        # By confidences: how often order 2 was right, and order 1 where order 2 was not.
+        self.weight2 = np.full(n * 16, 1 << _WEIGHT_BITS - 1, np.int64)
+        self.weight1 = np.full(n * 16, 1 << _WEIGHT_BITS - 1, np.int64)
+        self.counts = np.zeros((n, 256), np.int32)
+        self.hash1, self.hash2 = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.ids = np.zeros((steps, n), np.uint16)
+        self.taken, self.next = 0, _REFRESH
+        self.spread(n)
+
+    def refresh(self, step: int, n: int) -> None:
+        """Take over the counts of upper bytes now and then; in between they stay as they are."""
+        if step == self.next:
+            for at in range(self.taken, step, 128):
+                upper = (self.ids[at : min(at + 128, step), :n] >> 8) + self.at_h[:n]
+                found = np.bincount(upper.ravel(), minlength=n * 256)
+                self.counts[:n] += found.reshape(n, 256).astype(np.int32)
+            self.taken, self.next = step, 2 * step
+            self.spread(n)
+
+    def spread(self, n: int) -> None:
+        """Deal out the slots of order 0 in proportion to the counts, and one to each upper byte."""
+        counts = self.counts[:n] if self.taken else np.ones((n, 256), np.int32)
+        ends = counts.cumsum(1, dtype=np.int32) * np.int32(_SLOTS - 256)
+        ends = (ends / counts.sum(1, keepdims=True)).astype(np.int32)
+        ends += np.arange(1, 257, dtype=np.int32)
+        sizes = np.diff(ends, axis=1, prepend=np.int32(0))
+        self.slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), sizes.ravel())
+        # The first slot of an upper byte, and the number of its slots.
+        self.shares = ((ends - sizes) << 16 | sizes).ravel()
+
+    def predict(self, n: int, size: np.ndarray) -> None:
+        self.slot1 = (self.hash1[:n] >> 13 & _CONTEXTS_1 - 1) + self.at1[:n]
+        self.slot2 = (self.hash2[:n] >> 13 & _CONTEXTS_2 - 1) + self.at2[:n]
+        self.entry1, self.entry2 = self.first.take(self.slot1), self.second.take(self.slot2)
+        self.sure1, self.sure2 = self.entry1 & 3, self.entry2 & 3
+        self.row = (self.sure2 * 4 + self.sure1) + self.at_w[:n]
+        self.share2, self.share1 = self.weight2.take(self.row), self.weight1.take(self.row)
+        # The intervals: order 2, then order 1, then all else.
+        self.size2 = (size >> _WEIGHT_BITS) * self.share2
+        rest = size - self.size2
+        self.size1 = (rest >> _WEIGHT_BITS) * self.share1
+        self.size0 = rest - self.size1
+        self.end1 = self.size2 + self.size1
 
     def learn(self, n: int, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
         """``right1``: order 1 was right and order 2 was not."""
-        outcome = np.where(right2, 0, np.where(right1, 1, 2))
-        self.weights[self.row, outcome] += _WEIGHT_STEP
-        # The sum before this step tells soon enough.
-        full = np.flatnonzero(self.scale > self.unit * _WEIGHT_LIMIT)
-        if len(full):
-            self.weights[self.row[full]] = (self.weights[self.row[full]] + 1) >> 1
-        for table, slot, entry, guess in (
-            (self.first, self.slot1, self.entry1, self.guess1),
-            (self.second, self.slot2, self.entry2, self.guess2),
-        ):
-            sure = entry & 3
-            right = entry + (sure < 3)
-            wrong = np.where(sure > 0, entry - 1, ids << 2)
-            table[slot] = np.where(guess == ids, right, wrong)
-        self.counts.reshape(-1)[self.at_h[:n] + (ids >> 8)] += _COUNT_STEP
-        self.before[:n] = self.previous[:n]
-        self.previous[:n] = ids
-
-
-def _rescale(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Blocks whose next 16 bits are settled; narrows ranges that are too small to go on."""
-    settled = (low ^ (low + size)) < _TOP
-    small = ~settled & (size <= _BOTTOM)
-    if small.any():
-        size[small] = (U(0) - low[small]) & _BOTTOM
-        settled |= small
-    return np.flatnonzero(settled)
+        self.weight2[self.row] = self.share2 + (right2 * (_RIGHT - _WRONG) + _WRONG - self.share2 >> _WEIGHT_STEP)
+        moved = right1 * (_RIGHT - _WRONG) + _WRONG - self.share1 >> _WEIGHT_STEP
+        moved *= ~right2
+        self.weight1[self.row] = self.share1 + moved
+        fresh = ids << 2
+        self.second[self.slot2] = np.where(right2, self.entry2 + (self.sure2 < 3), fresh)
+        same = self.entry1 - self.sure1 == fresh
+        self.first[self.slot1] = np.where(same, self.entry1 + (self.sure1 < 3), fresh)
+        hashed = (ids + np.int32(1)) * _HASH_1
+        self.hash2[:n] = self.hash1[:n] * _HASH_2 + hashed
+        self.hash1[:n] = hashed
 
 
 def _ordered(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,47 +110,55 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """The code of each block of ids below ``IDS``."""
     order, active = _ordered([len(b) for b in blocks])
     n, steps = len(blocks), len(active)
-    ids = np.zeros((steps, n), np.int32)
+    model = _Model(n, steps)
     for lane, block in enumerate(order):
-        ids[: len(blocks[block]), lane] = blocks[block]
-    model = _Model(n)
-    low, size = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
-    # At most two words of output for an id, as its interval is at least 2**-32 wide.
-    words, at = np.zeros((n, 2 * steps + 6), np.uint16), np.zeros(n, np.int64)
+        model.ids[: len(blocks[block]), lane] = blocks[block]
+    low, size = np.zeros(n, np.int64), np.full(n, 1 << _WINDOW, np.int64)
+    # At most two words of output for an id; the 17th bit of a word is a carry.
+    words = np.zeros((2 * steps + 3) * n, np.uint32)
+    at = np.arange(n, dtype=np.int64)
     for step in range(steps):
         k = int(active[step])
-        if step % _REFRESH == 0:
-            model.refresh(k)
-        model.predict(k)
-        x = ids[step, :k]
-        right2 = model.guess2 == x
-        right1 = (model.guess1 == x) & ~right2
-        place = model.at_h[:k] + (x >> 8)
-        width = model.high[place]
-        inner = (model.below.ravel()[place] << U(8)) + (x & 255).astype(U) * width
-        start = np.where(right2, U(0), np.where(right1, model.end2, model.end1 + model.weight0 * inner))
-        share = np.where(
-            right2, model.end2, np.where(right1, model.end1 - model.end2, model.weight0 * width)
-        )
-        unit = size[:k] // model.scale
-        low_k, size_k = low[:k], size[:k]
-        low_k += start * unit
-        np.multiply(unit, share, out=size_k)
+        model.refresh(step, k)
+        low_k, size_k, at_k = low[:k], size[:k], at[:k]
+        model.predict(k, size_k)
+        x = model.ids[step, :k].astype(np.int32)
+        right2 = model.entry2 - model.sure2 == x << 2
+        right1 = (model.entry1 - model.sure1 == x << 2) & ~right2
+        np.copyto(size_k, np.where(right2, model.size2, model.size1))
+        low_k += model.size2 * right1
+        rest = np.flatnonzero(~(right2 | right1))
+        if len(rest):
+            ids = x[rest]
+            place = model.at_h[rest] + (ids >> 8)
+            share = model.shares.take(place)
+            high = share & 0xFFFF
+            unit = model.size0.take(rest) >> _SLOT_BITS + 8
+            inner = (share >> 16 << 8) + (ids & 255) * high
+            low_k[rest] += model.end1.take(rest) + inner * unit
+            size_k[rest] = unit * high
         model.learn(k, x, right2, right1)
-        out = _rescale(low_k, size_k)
+        out = np.flatnonzero(size_k < _LEAST)
         while len(out):
-            words[out, at[out]] = low_k[out] >> U(48)
-            at[out] += 1
-            low_k[out] <<= U(16)
-            size_k[out] <<= U(16)
-            part_low, part_size = low_k[out], size_k[out]
-            again = _rescale(part_low, part_size)
-            size_k[out] = part_size
-            out = out[again]
+            low_out, size_out, at_out = low_k.take(out), size_k.take(out), at_k.take(out)
+            words[at_out] = (low_out >> _WINDOW - 16).astype(np.uint32)
+            at_k[out] = at_out + n
+            low_k[out] = (low_out & _LEAST - 1) << 16
+            size_out <<= 16
+            size_k[out] = size_out
+            out = out[size_out < _LEAST]
+    for shift in (32, 16, 0):
+        words[at] = low >> shift if shift == 32 else low >> shift & 0xFFFF
+        at += n
+    words, ends = words.reshape(-1, n), at // n
+    over = np.zeros(n, np.uint32)
+    for row in words[: int(ends.max(initial=0))][::-1]:
+        row += over
+        np.right_shift(row, 16, out=over)
+    words = words.astype(np.uint16)
     codes: list[bytes] = [b""] * n
     for lane, block in enumerate(order):
-        end = [int(low[lane]) >> shift & 0xFFFF for shift in (48, 32, 16, 0)]
-        codes[block] = words[lane, : at[lane]].tobytes() + np.array(end, np.uint16).tobytes()
+        codes[block] = words[: ends[lane], lane].astype("<u2").tobytes()
     return codes
 
 
@@ -155,60 +166,51 @@ def decode(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     """The ids of each block."""
     order, active = _ordered(lengths)
     n, steps = len(codes), len(active)
-    longest = max((len(c) for c in codes), default=0) // 2
-    words = np.zeros((n, longest + 4), U)
-    for lane, block in enumerate(order):
-        code = np.frombuffer(codes[block], np.uint16)
-        words[lane, : len(code)] = code
-    ids = np.zeros((steps, n), np.int32)
-    model = _Model(n)
-    low, size = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
-    value, at = np.zeros(n, U), np.full(n, 4, np.int64)
-    for i in range(4):
-        value = (value << U(16)) | words[:, i]
+    # A damaged code may ask for more words than there are: it reads those of other blocks.
+    found = [np.frombuffer(codes[block], "<u2") for block in order]
+    words = np.concatenate([*found, np.zeros(8, "<u2")]).astype(np.uint16)
+    sizes = np.array([len(f) for f in found], np.int64)
+    at, last = sizes.cumsum() - sizes, len(words) - 1
+    model = _Model(n, steps)
+    size, value = np.full(n, 1 << _WINDOW, np.int64), np.zeros(n, np.int64)
+    for _ in range(3):
+        value = value << 16 | words[np.minimum(at, last)]
+        at += 1
     for step in range(steps):
         k = int(active[step])
-        if step % _REFRESH == 0:
-            model.refresh(k)
-        model.predict(k)
-        low_k, size_k, value_k = low[:k], size[:k], value[:k]
-        unit = size_k // model.scale
-        target = np.minimum((value_k - low_k) // unit, model.scale - U(1))
-        right2 = target < model.end2
-        right1 = (target < model.end1) & ~right2
-        x = np.where(right2, model.guess2, model.guess1).astype(np.int32)
-        start = np.where(right2, U(0), model.end2)
-        share = np.where(right2, model.end2, model.end1 - model.end2)
-        rest = np.flatnonzero(target >= model.end1)
+        model.refresh(step, k)
+        size_k, value_k, at_k = size[:k], value[:k], at[:k]
+        model.predict(k, size_k)
+        right2 = value_k < model.size2
+        either = value_k < model.end1
+        right1 = right2 ^ either
+        x = np.where(right2, model.entry2, model.entry1) >> 2
+        np.copyto(size_k, np.where(right2, model.size2, model.size1))
+        value_k -= model.size2 * right1
+        rest = np.flatnonzero(~either)
         if len(rest):
-            inner = (target[rest] - model.end1[rest]) // model.weight0[rest]
-            # The upper byte by its first four bits, then by the others.
-            want = (inner >> U(8))[:, None]
-            tens = (model.below[:, ::16][rest] <= want).sum(1) - 1
-            ones = model.below.reshape(-1, 16)[rest * 16 + tens]
-            upper = tens * 16 + (ones <= want).sum(1) - 1
-            place = model.at_h[rest] + upper
-            width = model.high[place]
-            base = model.below.ravel()[place] << U(8)
-            lower = (inner - base) // width
-            x[rest] = (upper << 8) + lower.astype(np.int64)
-            start[rest] = model.end1[rest] + model.weight0[rest] * (base + lower * width)
-            share[rest] = model.weight0[rest] * width
-        low_k += start * unit
-        np.multiply(unit, share, out=size_k)
-        ids[step, :k] = x
+            inside = value_k.take(rest) - model.end1.take(rest)
+            unit = model.size0.take(rest) >> _SLOT_BITS + 8
+            # What the shift cuts off the interval is never used.
+            inner = np.minimum((inside / unit).astype(np.int64), (_SLOTS << 8) - 1)
+            upper = model.slots.take(model.at_s.take(rest) + (inner >> 8))
+            place = model.at_h.take(rest) + upper
+            share = model.shares.take(place)
+            high, base = share & 0xFFFF, share >> 16 << 8
+            lower = ((inner - base) / high).astype(np.int64)
+            x[rest] = upper.astype(np.int32) << 8 | lower.astype(np.int32)
+            value_k[rest] = inside - (base + lower * high) * unit
+            size_k[rest] = unit * high
+        model.ids[step, :k] = x
         model.learn(k, x, right2, right1)
-        out = _rescale(low_k, size_k)
+        out = np.flatnonzero(size_k < _LEAST)
         while len(out):
-            value_k[out] = (value_k[out] << U(16)) | words[out, np.minimum(at[out], longest + 3)]
-            at[out] += 1
-            low_k[out] <<= U(16)
-            size_k[out] <<= U(16)
-            part_low, part_size = low_k[out], size_k[out]
-            again = _rescale(part_low, part_size)
-            size_k[out] = part_size
-            out = out[again]
+            size_out, at_out = size_k.take(out) << 16, at_k.take(out)
+            value_k[out] = value_k.take(out) << 16 | words.take(np.minimum(at_out, last))
+            at_k[out] = at_out + 1
+            size_k[out] = size_out
+            out = out[size_out < _LEAST]
     blocks: list[np.ndarray] = [np.empty(0, np.int32)] * n
     for lane, block in enumerate(order):
-        blocks[block] = ids[: lengths[block], lane].copy()
+        blocks[block] = model.ids[: lengths[block], lane].copy()
     return blocks

@@ -18,7 +18,9 @@ place each; rows without an id come first.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -39,10 +41,21 @@ BLOCK = 4096
 BLOCKS_PER_FILE = 2048
 
 # Blocks coded side by side.
-_LANES = 512
+_LANES = 2048
 
-# Words a worker remembers; the memory is emptied when it is full.
-_REMEMBERED = 400_000
+# Characters of the texts whose words are looked up together.
+_CHARACTERS = 1 << 20
+
+# Words a worker remembers, and parts of words; a memory is emptied when it is full.
+_REMEMBERED, _REMEMBERED_PARTS = 200_000, 200_000
+
+# A word a line: letters up to U+027F that stay as they are in every normal form, then marks of
+# ASCII; vocabularies that split at `_LETTERS` cut in between. Any other word is a match without.
+_PLAIN = re.compile(
+    rb"^(?:((?:[a-z]|(?!\xc3[\x97\xb7]|\xc4\xb0)[\xc3-\xc9][\x80-\xbf])+)([.,;:!?%&$#*)\]]*)|.*)$",
+    re.MULTILINE,
+)
+_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _HEADER = struct.Struct("<4sIIIIIQQB")
 _MAGIC = b"TIDB"
@@ -52,7 +65,8 @@ class _Words:
     """Ids of texts by the tokenizer library, which sees every distinct word once.
 
     The vocabulary drops white space, so words between ASCII white space do not affect
-    each other.
+    each other. If it also ignores case and cuts between letters and marks, the library sees
+    the letters of a word once for all cases and marks, many such words in one text.
     """
 
     def __init__(self, vocabulary: str):
@@ -61,25 +75,74 @@ class _Words:
 
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        kinds = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.cuts = kinds == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern") == {"Regex": _LETTERS}
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def ids(self, texts: Sequence[str]) -> Iterator[bytes]:
         """The ids of each text as 32-bit integers."""
+        some, size = [], 0
         for text in texts:
-            words = text.encode().split()
-            new = [word for word in dict.fromkeys(words) if word not in self.known]
-            if len(self.known) + len(new) > _REMEMBERED:
-                self.known.clear()
-                new = list(dict.fromkeys(words))
-            for at in range(0, len(new), 1000):
-                some = new[at : at + 1000]
-                coded = self.tokenizer.encode_batch_fast(
-                    [word.decode() for word in some], add_special_tokens=False
-                )
-                for word, found in zip(some, coded):
-                    self.known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+            some.append(text.encode().split())
+            size += len(text)
+            if size >= _CHARACTERS:
+                yield from self._looked_up(some)
+                some, size = [], 0
+        yield from self._looked_up(some)
+
+    def _looked_up(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        new = set().union(*texts).difference(self.known)
+        if len(self.known) + len(new) > _REMEMBERED:
+            self.known.clear()
+            new = set().union(*texts)
+        self._learn(list(new))
+        for words in texts:
             yield b"".join(map(self.known.__getitem__, words))
 
+    def _learn(self, new: list[bytes]) -> None:
+        if not new:
+            return
+        cut = _PLAIN.findall(b"\n".join(new).lower()) if self.cuts else [(b"", b"")] * len(new)
+        odd = [word for word, (letters, _) in zip(new, cut) if not letters]
+        for at in range(0, len(odd), 1000):
+            some = odd[at : at + 1000]
+            self.known.update(zip(some, self._each(some)))
+        letters, marks = ({part for part in parts if part} for parts in zip(*cut))
+        if len(self.parts) + len(letters) + len(marks) > _REMEMBERED_PARTS:
+            self.parts.clear()
+        fresh = list(letters.difference(self.parts))
+        for at in range(0, len(fresh), 500):
+            some = fresh[at : at + 500]
+            self.parts.update(zip(some, self._together(some)))
+        fresh = list(marks.difference(self.parts))
+        self.parts.update(zip(fresh, self._each(fresh)))
+        parts = self.parts
+        parts[b""] = b""
+        self.known.update(
+            (word, parts[letters] + parts[marks]) for word, (letters, marks) in zip(new, cut) if letters
+        )
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, by itself."""
+        coded = self.tokenizer.encode_batch_fast(
+            [word.decode() for word in words], add_special_tokens=False
+        )
+        return [struct.pack(f"<{len(found.ids)}I", *found.ids) for found in coded]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word of letters, from one text that holds them all."""
+        found = self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False)
+        places = np.array(found.word_ids, np.int64)
+        sizes = np.bincount(places, minlength=len(words))
+        if len(sizes) != len(words) or not sizes.all() or (places[1:] < places[:-1]).any():
+            return self._each(words)
+        ids, ends = np.array(found.ids, "<u4").tobytes(), (sizes.cumsum() * 4).tolist()
+        return [ids[at:end] for at, end in zip([0, *ends], ends)]
+
 
 @cache
 def _words(vocabulary: str) -> _Words:
@@ -118,16 +181,17 @@ class _Packer:
                 for doc_id, piece in self.pieces
             )
             about = (len(self.pieces), self.part, self.first, self.start, self.continued)
-            self.full.append((ids, table, about))
+            check = zlib.crc32(ids.astype("<u4").tobytes())
+            self.full.append((ids.astype(np.uint16), table, check, about))
             self.start += len(ids)
         self.pieces, self.size = [], 0
 
     def coded(self) -> list[bytes]:
         """The blocks that are full, as they stand in the file."""
         blocks = []
-        for (ids, table, about), code in zip(self.full, encode([b[0] for b in self.full])):
+        codes = encode([b[0] for b in self.full])
+        for (ids, table, check, about), code in zip(self.full, codes):
             n_documents, part, first, start, continued = about
-            check = zlib.crc32(ids.astype("<u4").tobytes())
             head = _HEADER.pack(
                 _MAGIC, len(ids), n_documents, check, len(code), part, first, start, continued
             )

@@ -216,6 +216,56 @@ def test_token_files_read_back(spark, monkeypatch):
     assert token_files.read_tokens(spark, path).count() == 0
 
 
+def test_words_of_tokens_equal_whole_texts(monkeypatch):
+    rng = random.Random(5)
+    parts = [*"aAeEzßéÉñİıŉſK×÷ÀΣσςЖ日😀.,;:!?%&$#*)](\"<>|-_019²½\u0338\u0331\u0301\u0307\u200d\u00ad\u00a0ﬁẞǅẖH", " ", "\n"]
+    parts += ["\x0b", "\x1c", "'s", "'RE", "'ll", "<|endoftext|>", "</w>", "ll)", "s.", "Word", "été"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(4000)]
+    texts += ["Word word, WORD. word; (word) " * 3, "", "x" * 5000 + "."]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for limits in ((200_000, 200_000), (40, 60)):
+        for name, limit in zip(("_REMEMBERED", "_REMEMBERED_PARTS"), limits):
+            monkeypatch.setattr(token_files, name, limit)
+        monkeypatch.setattr(token_files, "_CHARACTERS", 2000)
+        words = token_files._Words("word_bpe_49k.json")
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in words.ids(texts)] == expected
+
+
+def test_letters_reach_the_library_once_for_all_cases_and_marks():
+    words, seen = token_files._Words("word_bpe_49k.json"), []
+
+    class Library:
+        def __init__(self, library):
+            self.library = library
+
+        def encode(self, text, **more):
+            seen.append(text)
+            return self.library.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return self.library.encode_batch_fast(texts, **more)
+
+    words.tokenizer = Library(words.tokenizer)
+    list(words.ids(["Strange STRANGE, strange. other", "Other! strange;"]))
+    assert " ".join(seen).lower().count("strange") == 1
+
+
+def test_range_coder_many_blocks_and_damage():
+    rng = np.random.default_rng(4)
+    blocks = [rng.zipf(1.2, rng.integers(0, 90)) % 50_000 for _ in range(1500)]
+    lengths, codes = [len(b) for b in blocks], encode(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, decode(codes, lengths)))
+    # Surprises after a long run of right guesses take the least intervals there are.
+    sure = np.full(3000, 7)
+    sure[100::97] = rng.integers(0, 1 << 16, len(sure[100::97]))
+    assert (decode(encode([sure]), [len(sure)])[0] == sure).all()
+    # A damaged code gives some ids, which the checksum of the block tells.
+    broken = [bytes(rng.integers(0, 256, len(c), np.uint8)) for c in codes]
+    assert [len(b) for b in decode(broken, lengths)] == lengths
+
+
 def test_lines_above_the_ratio_go_from_their_host_alone(spark):
     rows = [(i, "H.com", f"menu\n own {i} \nmenu\n\nrare{i % 4}") for i in range(20)]
     rows += [(100 + i, "other.com", "menu") for i in range(3)]
