@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ __all__ = [
     "new_folder",
     "numbered",
     "shared_folder",
+    "small_batches",
     "table",
     "texts_of",
     "written",
@@ -73,6 +75,24 @@ def map_batches(
     return frame.mapInArrow(run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ROWS, size: str = "8m") -> Iterator[None]:
+    """Python workers get at most so many rows and bytes at a time in jobs that run meanwhile.
+
+    Spark's own 10,000 rows of text are held several times over by the executor and the worker.
+    """
+    limits = {"maxRecordsPerBatch": str(rows), "maxBytesPerBatch": size}
+    limits = {f"spark.sql.execution.arrow.{name}": limit for name, limit in limits.items()}
+    before = {name: spark.conf.get(name, None) for name in limits}
+    try:
+        for name, limit in limits.items():
+            spark.conf.set(name, limit)
+        yield
+    finally:
+        for name, limit in before.items():
+            spark.conf.unset(name) if limit is None else spark.conf.set(name, limit)
+
+
 def all_of(conditions):
     return reduce(lambda a, b: a & b, conditions)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallytide.llm.common import importable, map_batches, texts_of, written
+from tallytide.llm.common import importable, map_batches, small_batches, texts_of, written
 from tallytide.llm.range_coder import IDS, decode, encode
 
 VOCABULARY = "word_bpe_49k.json"
@@ -243,15 +243,16 @@ def write_tokens(
         if packer.full:
             yield flush()
 
-    (
-        rows.orderBy("_order")
-        .select("doc_id", "text")
-        .mapInArrow(pack, "block binary")
-        # Bytes go into the file as they are.
-        .select(F.col("block").cast("string"))
-        .write.option("maxRecordsPerFile", BLOCKS_PER_FILE)
-        .text(path)
-    )
+    with small_batches(spark):
+        (
+            rows.orderBy("_order")
+            .select("doc_id", "text")
+            .mapInArrow(pack, "block binary")
+            # Bytes go into the file as they are.
+            .select(F.col("block").cast("string"))
+            .write.option("maxRecordsPerFile", BLOCKS_PER_FILE)
+            .text(path)
+        )
 
 
 def _blocks(content: bytes) -> Iterator[tuple]:
@@ -331,7 +332,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     schema = (
         "part bigint, document bigint, start bigint, doc_id bigint, n bigint, crc bigint"
     )
-    pieces = written(_read(spark, path, int, schema))
+    with small_batches(spark):
+        pieces = written(_read(spark, path, int, schema))
     # One row per part of the table.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (

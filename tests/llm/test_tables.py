@@ -266,6 +266,27 @@ def test_range_coder_many_blocks_and_damage():
     assert [len(b) for b in decode(broken, lengths)] == lengths
 
 
+def test_token_workers_get_few_rows_at_a_time(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'some text' AS text").coalesce(1)
+    whole, name = type(docs).mapInArrow, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def watched(frame, function, schema, *more):
+        def few(batches):
+            for batch in batches:
+                if batch.num_rows > 1000:
+                    raise ValueError(f"{batch.num_rows} rows at a time")
+                yield batch
+
+        return whole(frame, lambda batches: function(few(batches)), schema, *more)
+
+    before, path = spark.conf.get(name), new_folder(spark)
+    with monkeypatch.context() as patched:
+        patched.setattr(type(docs), "mapInArrow", watched)
+        token_files.write_tokens(docs, path)
+    assert token_files.read_tokens(spark, path).count() == 5000
+    assert spark.conf.get(name) == before
+
+
 def test_lines_above_the_ratio_go_from_their_host_alone(spark):
     rows = [(i, "H.com", f"menu\n own {i} \nmenu\n\nrare{i % 4}") for i in range(20)]
     rows += [(100 + i, "other.com", "menu") for i in range(3)]
