@@ -14,10 +14,10 @@ union sketch, and an exact check on full sets.
 * For the rest, full sets are ordered by rarity, and each document retains its rarest values:
   one more than a partner may lack, so partners meet in the list of one of these values.
 * In a short list all pairs are candidates. In a long one every member is compared with a hub,
-  the member with the fewest values of its own. Members linked to it need no more comparisons
-  with each other; the others are compared with those members that size, shared values and the
-  distance to the hub (a metric) leave possible. No list emits all its pairs, and no link
-  between components is lost.
+  the member with the fewest values of its own. Members in its component need no more
+  comparisons with each other. A link of any other shows in values that the hub lacks: the
+  rarest of them make lists of the hub's members, again with all pairs or a hub. No long list
+  emits all its pairs, and no link between components is lost.
 * The union sketch drops candidates far below the threshold (exact for small sets, otherwise
   with the same chance of losing a pair); intersections of full sets decide.
 
@@ -28,9 +28,7 @@ are, and all have one component. Rows without an id are kept apart.
 
 from __future__ import annotations
 
-from functools import reduce
 from math import comb
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +40,6 @@ from tallytide.llm.common import map_batches, texts_of, written
 SKETCH = 64
 SHORT_LIST = 32
 
-# The same for the comparisons inside long lists.
-WIDE = 256
-
 # How likely a full sketch may hide a pair whose similarity is the threshold itself.
 CHANCE = 1e-10
 
@@ -217,65 +212,183 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int, all_distances: boo
     return checked if all_distances else checked.where(linked)
 
 
+def _pairs(entries: DataFrame, keys: list[str], percent: int, apart: str = "true") -> DataFrame:
+    """Rows of ``entries`` that have the same ``keys``, where sizes and ``apart`` allow a link."""
+    same = " AND ".join(f"x.{key} = y.{key}" for key in keys)
+    return (
+        entries.alias("x")
+        .join(entries.alias("y"), F.expr(f"{same} AND x.rep < y.rep AND {apart}"))
+        .where(_sizes_fit(percent, "x", "y"))
+    )
+
+
+def _beside_hubs(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists of a part's members in which those meet that may be linked past its hub.
+
+    ``groups`` has members with the size of their intersection with the hub (``both``) and their
+    component (``root``). If x and y are linked, and not both in the hub's component, one of them
+    is not linked to the hub. So they have more in common than the hub holds of one of them, and
+    meet in the list of a value that the hub lacks; a part's rarest such values do, as in
+    ``_retained``. Only if one is smaller than the hub, all they need may be in the hub: these
+    are a list of their own, whose hub is to be the smallest of them.
+
+    The second table has what each member has besides the hub (``more``) and lacks of it
+    (``less``).
+    """
+    whole = 100 + percent
+    bounds = groups.groupBy("part").agg(
+        F.min("n").alias("least"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.max(F.expr("if(rep = hub, root, NULL)")).alias("settled"),
+        F.max(F.expr("if(rep = hub, n, NULL)")).alias("hub_n"),
+    )
+    # The largest partner that the values in the hub suffice for, and the fewest others for any.
+    placed = (
+        groups.join(bounds.where("low < high"), "part")
+        .withColumn("open", F.col("root") != F.col("settled"))
+        .withColumn("reach", F.expr(f"{whole} * both div {percent} - n"))
+        .withColumn("partner", F.greatest(F.col("least"), _least(percent)))
+        .withColumn("need", F.expr(f"({percent} * (n + partner) + {whole - 1}) div {whole} - both"))
+        .withColumn("need", F.greatest(F.lit(1), F.col("need")))
+        .drop("low", "high", "settled", "partner")
+    )
+    hubs = sets.select(F.col("rep").alias("hub"), F.col("values").alias("in_hub"))
+    placed = written(
+        placed.join(sets.select("rep", "values"), "rep")
+        .join(hubs, "hub")
+        .withColumn("more", F.array_except("values", "in_hub"))
+        .withColumn("less", F.array_except("in_hub", "values"))
+        .drop("values", "in_hub")
+    )
+    others = placed.select("part", "rep", "root", F.explode("more").alias("value"))
+    # Values in members of one component only are of no use.
+    useful = (
+        others.groupBy("part", "value")
+        .agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+        .where("low < high")
+        .select("part", "value", "df")
+    )
+    members = placed.drop("more", "less")
+    rarest = (
+        others.drop("root")
+        .join(useful, ["part", "value"])
+        .groupBy("part", "rep")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("order"))
+        .join(members, ["part", "rep"])
+        .withColumn("length", F.greatest(F.lit(0), F.size("order") - F.col("need") + 1))
+        .withColumn("order", F.slice("order", 1, F.col("length").cast("int")))
+        .select("part", "rep", "n", "shared", "root", F.explode("order.value").alias("value"))
+        .withColumn("rank", F.col("n") - F.col("shared"))
+    )
+    reached = (
+        members.where("open AND reach >= least")
+        .groupBy("part")
+        .agg(F.max("reach").alias("most"), F.min("n").alias("fewest"))
+    )
+    inside = (
+        members.join(reached, "part")
+        .where("open AND reach >= least OR n <= most AND reach >= fewest")
+        .select(F.concat("part", F.lit("<")).alias("part"), "rep", "n", "shared", "root")
+        .withColumn("value", F.lit(0).cast("bigint"))
+        .withColumn("rank", F.col("n"))
+    )
+    return rarest.unionByName(inside), placed
+
+
+def _linked_beside_hub(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Links among pairs (part, a, b), from what the members of a part have apart from its hub."""
+    for side in ("a", "b"):
+        own = placed.select(
+            "part",
+            F.col("rep").alias(side),
+            *([F.col("hub_n")] if side == "a" else []),
+            *(F.col(name).alias(f"{name}_{side}") for name in ("n", "both", "more", "less")),
+        )
+        pairs = pairs.join(own, ["part", side])
+    common = (
+        F.col("both_a") + F.col("both_b") - F.col("hub_n")
+        + F.size(F.array_intersect("more_a", "more_b"))
+        + F.size(F.array_intersect("less_a", "less_b"))
+    )
+    return pairs.where((100 + percent) * common >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _links_in_long_lists(
+    members: DataFrame, links: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
+    """``links``, and links that connect all that is linked within a list of ``members``.
+
+    Every round compares members with the hub of their list. Lists that have the same hub are
+    one part; what may still be linked in a part goes on in shorter lists, without the hub.
+    Lists with few pairs for their length are compared pair by pair, and with more in each round.
+    """
+    few = SHORT_LIST // 2
+    while not members.isEmpty():
+        hubs = members.groupBy("part", "value").agg(F.min(F.struct("rank", "rep")).alias("hub"))
+        groups = written(
+            members.join(hubs, ["part", "value"])
+            .withColumn("hub", F.col("hub.rep"))
+            .select(F.concat_ws("/", "part", "hub").alias("part"), "hub", "rep", "n", "shared")
+            .distinct()
+        )
+        to_hub = groups.where("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        measured = written(_similar(to_hub.distinct(), sets, percent, True))
+        near = measured.where(f"100 * both >= {percent} * either").select("a", "b")
+        labels = components(links.union(near))
+        links = labels.toDF("b", "a").select("a", "b")
+        groups = written(
+            groups.join(measured.toDF("hub", "rep", "both", "either"), ["hub", "rep"], "left")
+            .join(labels.toDF("rep", "root"), "rep", "left")
+            .withColumn("both", F.coalesce("both", "n"))
+            .withColumn("root", F.coalesce("root", "rep"))
+            .drop("either")
+        )
+        entries, placed = _beside_hubs(groups, sets, percent)
+        entries = written(entries)
+        lists = written(
+            entries.groupBy("part", "value", "root")
+            .agg(F.count("*").alias("same"))
+            .groupBy("part", "value")
+            .agg(F.sum("same").alias("length"), F.sum(F.expr("same * same")).alias("inside"))
+            .withColumn("pairs", F.expr("(length * length - inside) div 2"))
+            .where("pairs > 0")
+        )
+        short = lists.where(f"pairs <= {few} * length").select("part", "value")
+        found = (
+            _pairs(entries.join(short, ["part", "value"]), ["part", "value"], percent, "x.root != y.root")
+            .select(
+                F.regexp_replace("x.part", "<$", "").alias("part"),
+                F.col("x.rep").alias("a"),
+                F.col("y.rep").alias("b"),
+            )
+            .distinct()
+        )
+        links = written(links.union(_linked_beside_hub(found, placed, percent)))
+        long = lists.where(f"pairs > {few} * length").select("part", "value")
+        members = written(entries.join(long, ["part", "value"]).drop("root"))
+        few *= 4
+    return links
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect every component."""
     retained = _retained(sets, percent)
     entries = retained.select("rep", "n", "shared", F.explode("retained").alias("value"))
     lists = written(
-        entries.groupBy("value")
-        .agg(F.count("*").alias("length"), F.min(F.struct(F.expr("n - shared"), "rep")).alias("hub"))
-        .where("length > 1")
-        .select("value", "length", F.col("hub.rep").alias("hub"))
+        entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     )
     short = lists.where(f"length <= {SHORT_LIST}").select("value")
     near = written(entries.join(short, "value"))
-    pairs = (
-        near.alias("x")
-        .join(near.alias("y"), F.expr("x.value = y.value AND x.rep < y.rep"))
-        .where(_sizes_fit(percent, "x", "y"))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-    )
-    links = written(_similar(pairs, sets, percent, False).select("a", "b"))
-
-    long = written(lists.where(f"length > {SHORT_LIST}").select("value", "hub"))
-    if long.isEmpty():
-        return links
-    members = written(entries.join(long, "value").select("value", "hub", "rep"))
-    hub_pairs = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).where("a != b")
-    measured = written(_similar(hub_pairs.distinct(), sets, percent, True))
-    to_hub = measured.where(f"100 * both >= {percent} * either").select("a", "b")
-
-    # Distance to the hub of the list: 0 for the hub itself.
-    distances = measured.select(
-        F.col("a").alias("hub"), F.col("b").alias("rep"), F.expr("1 - both / either").alias("d")
-    )
-    placed = written(
-        members.join(distances, ["hub", "rep"], "left")
-        .na.fill(0.0, ["d"])
-        .withColumn("open", F.col("d") > 1 - percent / 100)
-    )
-    unsettled = placed.where("open").select("value").distinct()
-    wide = sets.select("rep", F.slice("values", 1, WIDE).alias("sketch"))
-    placed = written(
-        placed.join(unsettled, "value", "left_semi").join(retained, "rep").join(wide, "rep")
-    )
-    # A pair meets in the first list of both; if that is a short one it is a candidate already.
-    # The sketch comes last, for the few pairs that everything else leaves.
-    possible = (
-        F.expr("x.value = y.value AND x.rep != y.rep AND NOT (x.open AND x.rep < y.rep)"),
-        _sizes_fit(percent, "x", "y"),
-        F.expr(f"abs(x.d - y.d) <= {1 - percent / 100} + 1e-9"),
-        F.expr("element_at(array_intersect(x.retained, y.retained), 1) = x.value"),
-        _likely(F.col("x.sketch"), F.col("y.sketch"), WIDE, percent),
-    )
-    rest = (
-        placed.where("open").alias("y")
-        .join(placed.alias("x"), reduce(and_, possible))
-        .select(F.expr("least(x.rep, y.rep)").alias("a"), F.expr("greatest(x.rep, y.rep)").alias("b"))
-        .distinct()
+    pairs = _pairs(near, ["value"], percent).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    links = written(_similar(pairs.distinct(), sets, percent, False).select("a", "b"))
+    long = lists.where(f"length > {SHORT_LIST}").select("value")
+    members = (
+        entries.join(long, "value")
+        .withColumn("part", F.lit(""))
+        .withColumn("rank", F.col("n") - F.col("shared"))
     )
-    return links.union(to_hub).union(_similar(rest, sets, percent, False).select("a", "b"))
+    return _links_in_long_lists(written(members), links, sets, percent)
 
 
 def components(links: DataFrame) -> DataFrame:

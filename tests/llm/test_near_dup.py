@@ -125,3 +125,53 @@ def test_a_long_chain_is_one_component(spark):
     found = {r["node"]: r["root"] for r in components(links).collect()}
     assert found == {**{i: 0 for i in range(201)}, 500: 500, 600: 500}
     assert components(links.where("false")).count() == 0
+
+
+def family(seed, copies):
+    """Copies of one text: with edits that some share, copies of a far copy, cut off, with gaps."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    far = edited(rng, base, 0.06)
+    texts = [base]
+    for _ in range(copies):
+        text = list(rng.choice([base, base, base, far]))
+        for _ in range(rng.choice([0, 2, 4, 8, 12, 16])):
+            text[rng.randrange(len(text))] = rng.choice(["of", "the", f"own{rng.randrange(10**6)}"])
+        if rng.random() < 0.3:
+            start = rng.randrange(30)
+            text = text[start : start + rng.randrange(120, 200)]
+        elif rng.random() < 0.2:
+            text = [word for word in text if rng.random() > 0.03]
+        texts.append(text)
+    rows = [" ".join(text) for text in texts]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_copies_and_cuts_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SHORT_LIST", 8)
+    rows = family(6, 150)
+    found = near_duplicates(edge.documents(spark, *rows)).collect()
+    roots, _ = exact(rows)
+    assert {r["doc_id"]: r["component_id"] for r in found} == roots
+    assert 1 < len(set(roots.values())) < len(rows)
+
+
+def test_few_whole_sets_are_compared_inside_a_long_list(spark, monkeypatch):
+    """Copies of a text, and as many of a text that is too far from it."""
+    monkeypatch.setattr(near_dup, "SHORT_LIST", 8)
+    similar, pairs = near_dup._similar, []
+
+    def counted(frame, *others):
+        pairs.append(frame.count())
+        return similar(frame, *others)
+
+    monkeypatch.setattr(near_dup, "_similar", counted)
+    rng = random.Random(7)
+    text = [f"w{i}" for i in range(200)]
+    far = [f"far{i}" if i % 25 == 5 else word for i, word in enumerate(text)]
+    rows = [(i, " ".join(edited(rng, (text, far)[i % 2], 0.005))) for i in range(240)]
+    found = near_duplicates(edge.documents(spark, *rows)).collect()
+    roots, _ = exact(rows)
+    assert {r["doc_id"]: r["component_id"] for r in found} == roots
+    assert sum(pairs) < 4 * len(rows)
